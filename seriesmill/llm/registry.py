@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import decontaminate, pii, quality
-from seriesmill.session import table
+from seriesmill.llm import decontaminate, language_model, ngram_join, pieces, pii, quality, secret_scan, substring_dedup, toxicity, warc
+from seriesmill.session import checkpointed, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +22,64 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), check="lossless")
+    return coded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", "lossless")
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    scored = language_model.scores(docs, docs.where(F.coalesce(~held_out, F.lit(True))))
+    ids = docs.select("row", "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    return ids.join(scored, "row").drop("row")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS]
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.KINDS))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("secrets")).alias("spans"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.verdicts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return judged.select(F.col("key").alias("doc_id"), *[f"quality.{n}" for n in names], "verdict.kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = substring_dedup.repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return runs.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        total(F.col("runs")).alias("repeated_bytes"),
+        total(F.flatten(F.transform("runs", lambda r: r["copies"]))).alias("copied_bytes"),
+        F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["start"], r["stop"])), ",").alias("runs"),
+    )
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = checkpointed(warc.write(table(spark, sf_dir, "pages").select("page_id", "html")))
+    records = warc.read(archives).where("gap_start is null")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -38,7 +90,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_quality_rules, op10_pii)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_sentencepiece, op3_ngram_join, op4_lm_score, op5_secret_scan,
+        op6_quality_rules, op7_substring_dedup, op8_warc, op9_toxicity, op10_pii,
+    )
+}
 ORACLES: dict[str, str] = {}
 
 
