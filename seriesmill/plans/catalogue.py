@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from seriesmill.plans import q_events
+
+MODULES = [q_events]
 
 
 def queries() -> dict:
