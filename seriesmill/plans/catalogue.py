@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seriesmill.plans import q_compat, q_evaluate, q_events
+from seriesmill.plans import q_compat, q_detect, q_evaluate, q_events
 
-MODULES = [q_events, q_evaluate, q_compat]
+MODULES = [q_events, q_evaluate, q_compat, q_detect]
 
 
 def queries() -> dict:

@@ -90,10 +90,10 @@ def local_context(spark, sf_dir):
     return rounded(co.sides(p, ev.labelled(p)))
 
 
-@registry(sql(TRUTH_SQL, _SIDES, select="select series_id, " + ", ".join(f"round(cast({c} as double), 4) as {c}" for c in ("pre_mean", "pre_std", "post_mean", "post_std")) + " from ctx"))
+@registry(sql(TRUTH_SQL, _SIDES, select="select series_id, " + ", ".join(f"round(cast({c} as double), 10) as {c}" for c in ("pre_mean", "pre_std", "post_mean", "post_std")) + " from ctx"))
 def profile_context(spark, sf_dir):
     p = points(spark, sf_dir)
-    return rounded(co.context(p, ev.labelled(p)), 4)
+    return rounded(co.context(p, ev.labelled(p)), 10)
 
 
 @registry(sql(TRUTH_SQL, _PROFILE, _SIDES, _SPECTRAL, _PAIRS, select="select target, source, " + ", ".join(f"{r6(c)} as {c}" for c in ("shape", "amplitude", "duration", "context", "frequency", "trend")) + " from pr"))
