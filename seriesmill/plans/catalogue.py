@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seriesmill.plans import q_compat, q_detect, q_evaluate, q_events
+from seriesmill.plans import q_compat, q_detect, q_evaluate, q_events, q_report
 
-MODULES = [q_events, q_evaluate, q_compat, q_detect]
+MODULES = [q_events, q_evaluate, q_compat, q_detect, q_report]
 
 
 def queries() -> dict:
