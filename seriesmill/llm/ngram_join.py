@@ -129,7 +129,7 @@ def _pack(n_buckets: int):
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
                 doc, size = ids[first : first + rows], np.diff(offsets).astype(np.int32)
                 made = [(int(doc[0]) % n_buckets if rows else 0, doc.tobytes(), size.tobytes(), b"", b"", b"")]
-                for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=True):
+                for a, b in zip(cut, np.r_[cut, len(bucket)][1:], strict=True):
                     used, place = np.unique(row[a:b], return_inverse=True)
                     marks = mark[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 bits: more collisions only mean more checks
                     made.append((int(bucket[a]), doc[used].tobytes(), b"", marks, place.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes(), share[a:b].tobytes()))
