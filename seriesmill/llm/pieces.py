@@ -32,13 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from seriesmill.llm.text import blocks, column, mix, slice_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 17
-MAX_CHUNK, KEEP_NODES = 256, 1 << 20
+MAX_CHUNK, KEEP_NODES = 256, 3 << 20
+LIKELY = 20
 MARK, SPACE = "▁", 0x20
 
 
@@ -53,7 +55,7 @@ class Pieces:
     bytes_of: np.ndarray  # id of each byte's token
     table: np.ndarray  # bytes of all tokens, back to back
     table_start: np.ndarray
-    single: set[bytes]
+    likely: np.ndarray  # by the low LIKELY bits of a hash: some piece has them
 
     @classmethod
     def load(cls, path: str = MODEL, alpha: float = ALPHA) -> Pieces:
@@ -83,8 +85,9 @@ class Pieces:
             hashes.append(h[order])
             ids.append(i[order])
         table = np.frombuffer(b"".join(surface), np.uint8)
-        single = {s for own in by_length.values() for s, _ in own if len(s.decode()) == 1}
-        return cls(lengths, hashes, ids, -alpha * np.log(rank + 1), bytes_of, table, np.r_[0, np.cumsum([len(s) for s in surface])], single)
+        likely = np.zeros(1 << LIKELY, bool)
+        likely[np.concatenate(hashes) & np.uint64((1 << LIKELY) - 1)] = True
+        return cls(lengths, hashes, ids, -alpha * np.log(rank + 1), bytes_of, table, np.r_[0, np.cumsum([len(s) for s in surface])], likely)
 
 
 def _gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -93,19 +96,28 @@ def _gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Filtered lattices of distinct chunks: per node its incoming edges, as running shares."""
+    """Filtered lattices of distinct chunks: a node's incoming edges lie side by side, with running shares."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.last = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # chunk hash (sorted), its end node
-        self.shares = [np.zeros(0)]
-        self.origins, self.tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.begins = np.zeros(0, bool)  # by node: a chunk starts here
-        self.nodes = 0
-        self.flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.key, self.last = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # chunk hash (sorted), its end node
+        self.nodes = self.edges = 0
+        self.first = np.zeros(1 << 16, np.int32)  # by node: its first edge
+        self.degree = np.zeros(1 << 16, np.int16)  # by node; 0 where a chunk starts
+        self.share = np.zeros(1 << 18, np.float32)  # by edge: running share within its node
+        self.origin, self.token = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+
+    def _room(self, nodes: int, edges: int) -> None:
+        """Grows the arrays by doubling."""
+        for name, need in (("first", nodes), ("degree", nodes), ("share", edges), ("origin", edges), ("token", edges)):
+            have = getattr(self, name)
+            if need > len(have):
+                more = np.zeros(max(need, 2 * len(have)), have.dtype)
+                more[: len(have)] = have
+                setattr(self, name, more)
 
     def ends(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """End node of the lattice of each chunk data[start:stop]."""
@@ -119,103 +131,98 @@ class Lattices:
         fresh[inside] = self.key[place[inside]] != known[inside]
         if fresh.any():
             last = self._add(data, start[first[fresh]], stop[first[fresh]])
-            key = np.r_[self.key, known[fresh]]
-            order = np.argsort(key, kind="stable")
-            self.key, self.last = key[order], np.r_[self.last, last][order]
+            self.key = np.insert(self.key, place[fresh], known[fresh])
+            self.last = np.insert(self.last, place[fresh], last)
             place = np.searchsorted(self.key, known)
         return self.last[place][which]
 
-    def _add(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Builds and filters the lattices of new chunks; their end nodes."""
-        size = stop - start
-        text = data[_gather(start, size)]
-        base = np.r_[0, np.cumsum(size + 1)]  # node of each chunk's start
-        chunk = np.repeat(np.arange(len(size)), size)
+    def _edges(self, text: np.ndarray, node: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Source node, target node and token of every edge of new chunks, back to back in ``text``."""
         byte = np.arange(len(text))
-        node = byte + chunk
-        end = np.cumsum(size)[chunk]  # byte where the chunk of each byte ends
-        lead = (text & 0xC0) != 0x80
+        starts = byte[(text & 0xC0) != 0x80]
+        sizes = np.diff(np.r_[starts, len(text)])
+        covered = np.zeros(len(starts), bool)
         source, target, token = [], [], []
         for length, hashes, ids in zip(self.pieces.lengths.tolist(), self.pieces.hashes, self.pieces.ids, strict=True):
-            at = byte[lead & (byte + length <= end)]
+            which = np.flatnonzero(starts + length <= end[starts])
+            at = starts[which]
             if not len(at):
-                continue
+                break
             h = slice_hash(text, at, at + length)
+            maybe = self.pieces.likely[h & np.uint64((1 << LIKELY) - 1)]
+            h, at, which = h[maybe], at[maybe], which[maybe]
             place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = hashes[place] == h
             source.append(node[at[hit]])
             target.append(node[at[hit]] + length)
             token.append(ids[place[hit]])
-        lone = self._without_piece(text, lead, byte)
+            covered[which[hit]] |= sizes[which[hit]] == length
+        lone = _gather(starts[~covered], sizes[~covered])  # bytes of characters that have no piece
         source.append(node[lone])
         target.append(node[lone] + 1)
         token.append(self.pieces.bytes_of[text[lone]])
-        source, target, token = (np.concatenate(x).astype(np.int64) for x in (source, target, token))
-        weight = self.pieces.weights[token]
-        age = target - base[np.searchsorted(base, target, "right") - 1]
-        order = np.lexsort((source, target, age))
-        source, target, token, weight, age = source[order], target[order], token[order], weight[order], age[order]
+        return tuple(np.concatenate(x).astype(np.int64) for x in (source, target, token))
+
+    def _add(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Builds and filters the lattices of new chunks; their end nodes."""
+        size = stop - start
+        text = data[_gather(start, size)]
+        base = np.r_[0, np.cumsum(size + 1)]  # node of each chunk's start
+        chunk = np.repeat(np.arange(len(size)), size)
+        source, target, token = self._edges(text, np.arange(len(text)) + chunk, np.cumsum(size)[chunk])
+        age = np.arange(base[-1]) - np.repeat(base[:-1], size + 1)
+        order = np.argsort(age[target] * (base[-1] + 1) + target, kind="stable")
+        source, target, token = source[order], target[order], token[order]
+        weight, at_age = self.pieces.weights[token], age[target]
         total = np.full(base[-1], -np.inf)
         total[base[:-1]] = 0
-        steps = np.flatnonzero(np.r_[True, age[1:] != age[:-1]])
+        steps = np.flatnonzero(np.r_[True, at_age[1:] != at_age[:-1]])
+        head = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        head_at = np.searchsorted(head, np.r_[steps, len(target)])
         share = np.empty(len(source))
-        for a, b in zip(steps.tolist(), [*steps[1:].tolist(), len(age)], strict=True):
+        for k, (a, b) in enumerate(zip(steps.tolist(), [*steps[1:].tolist(), len(target)], strict=True)):
             value = total[source[a:b]] + weight[a:b]
-            head = np.flatnonzero(np.r_[True, target[a + 1 : b] != target[a : b - 1]])
-            total[target[a:b][head]] = np.logaddexp.reduceat(value, head)
+            heads = head[head_at[k] : head_at[k + 1]]
+            total[target[heads]] = np.logaddexp.reduceat(value, heads - a)
             share[a:b] = value
-        order = np.argsort(target, kind="stable")
-        source, target, token, share = source[order], target[order], token[order], share[order]
         with np.errstate(invalid="ignore"):
             p = np.nan_to_num(np.exp(share - total[target]))
-        head = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        degree = np.diff(np.r_[head, len(p)])
         runs = np.cumsum(p)
-        before = np.r_[0, runs][head]
-        runs = runs - np.repeat(before, np.diff(np.r_[head, len(p)]))
-        runs[np.r_[head[1:], len(p)] - 1] = 1.0
-        self.shares.append(self.nodes + target + np.minimum(runs, 1.0))
-        self.origins.append(self.nodes + source)
-        self.tokens.append(token)
-        begins = np.zeros(base[-1], bool)
-        begins[base[:-1]] = True
-        self.begins = np.r_[self.begins, begins]
-        last = self.nodes + base[1:] - 1
-        self.nodes += int(base[-1])
-        self.flat = None
-        return last
-
-    def _without_piece(self, text: np.ndarray, lead: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """Bytes of the characters that have no piece."""
-        starts = byte[lead]
-        sizes = np.diff(np.r_[starts, len(text)])
-        covered = np.zeros(len(starts), bool)
-        for size in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == size)
-            code = slice_hash(text, starts[at], starts[at] + size)
-            wanted = [s for s in self.pieces.single if len(s) == size]
-            if wanted:
-                flat = np.frombuffer(b"".join(wanted), np.uint8)
-                own = np.arange(len(wanted)) * size
-                covered[at] = np.isin(code, slice_hash(flat, own, own + size))
-        return _gather(starts[~covered], sizes[~covered])
+        runs -= np.repeat(np.r_[0, runs][head], degree)
+        runs[head + degree - 1] = 2.0
+        n, e = self.nodes, self.edges
+        self._room(n + int(base[-1]), e + len(p))
+        self.share[e : e + len(p)] = runs
+        self.origin[e : e + len(p)] = n + source
+        self.token[e : e + len(p)] = token
+        self.first[n + target[head]] = e + head
+        self.degree[n : n + base[-1]] = 0
+        self.degree[n + target[head]] = degree
+        self.nodes, self.edges = n + int(base[-1]), e + len(p)
+        return (n + base[1:] - 1).astype(np.int32)
 
     def sample(self, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each chunk occurrence, and how many it has; ``key`` seeds its draws."""
-        if self.flat is None:
-            self.shares, self.origins, self.tokens = ([np.concatenate(x)] for x in (self.shares, self.origins, self.tokens))
-            self.flat = self.shares[0], self.origins[0], self.tokens[0]
-        shares, origins, tokens = self.flat
         count = np.zeros(len(end), np.int64)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
-        live, at, step = np.arange(len(end)), end.copy(), 0
+        live, at, step = np.arange(len(end)), end, 0
         while len(live):
-            u = (mix(key[live] + np.uint64(step)) >> np.uint64(11)) * 2.0**-53
-            edge = np.searchsorted(shares, at + u, "right")
-            drawn.append((live, tokens[edge]))
+            u = ((mix(key + np.uint64(step)) >> np.uint64(40)) * 2.0**-24).astype(np.float32)
+            edge, left = self.first[at], self.degree[at].astype(np.int32)
+            while True:  # the first edge whose running share is above u, by halving
+                half = left >> 1
+                if not half.any():
+                    break
+                right = self.share[edge + np.maximum(half, 1) - 1] <= u
+                right &= half > 0
+                edge = edge + np.where(right, half, 0)
+                left = np.where(right, left - half, np.where(half > 0, half, left))
+            drawn.append((live, self.token[edge]))
             count[live] += 1
-            at = origins[edge]
-            more = ~self.begins[at]
-            live, at, step = live[more], at[more], step + 1
+            at = self.origin[edge]
+            more = self.degree[at] > 0
+            live, at, key, step = live[more], at[more], key[more], step + 1
         out = np.empty(count.sum(), np.int32)
         stop = np.cumsum(count)
         for k, (who, token) in enumerate(drawn):
@@ -279,8 +286,9 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str =
 
     The key is any column; its hash seeds the row's draws.
     """
-    extra = {out: F.array().cast("array<int>")} | ({check: F.lit(True)} if check else {})
-    shape = docs.withColumns(extra).schema
+    shape = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    if check:
+        shape = shape.add(check, T.BooleanType())
     schema = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +319,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str =
 
 def decoded(docs: DataFrame, tokens: str = "tokens", out: str = "decoded", path: str = MODEL) -> DataFrame:
     """``docs`` with the text of a column of token ids; null tokens give null."""
-    shape = docs.withColumn(out, F.lit("")).schema
+    shape = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
     schema = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
