@@ -1,11 +1,11 @@
-"""The query of each operator, and the DuckDB twins of those that SQL can express."""
+"""The query of each operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import decontaminate, language_model, ngram_join, pieces, pii, quality, secret_scan, substring_dedup, toxicity, warc
+from seriesmill.llm import decontaminate, language_model, ngram_join, oracles, pieces, pii, quality, secret_scan, substring_dedup, toxicity, warc
 from seriesmill.session import checkpointed, table
 
 
@@ -97,7 +97,6 @@ QUERIES = {
         op6_quality_rules, op7_substring_dedup, op8_warc, op9_toxicity, op10_pii,
     )
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict:
@@ -105,4 +104,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(oracles.ORACLES)
