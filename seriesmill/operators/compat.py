@@ -157,6 +157,20 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / F.greatest(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), F.lit(1e-8))
 
 
+def unit(x: Column, size: int) -> Column:
+    """An array of known length over its norm, at least 1e-8."""
+    norm = F.greatest(F.sqrt(dot(x, x, size)), F.lit(1e-8))
+    return F.transform(x, lambda v: v / norm)
+
+
+def dot(x: Column, y: Column, size: int) -> Column:
+    """Inner product of arrays of known length, one expression that is compiled as a whole."""
+    total = F.get(x, F.lit(0)) * F.get(y, F.lit(0))
+    for i in range(1, size):
+        total = total + F.get(x, F.lit(i)) * F.get(y, F.lit(i))
+    return total
+
+
 def resampled(values: Column, size: int) -> Column:
     """An array linearly resampled to ``size`` equally spaced places."""
     n = F.size(values)
