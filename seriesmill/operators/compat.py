@@ -153,22 +153,17 @@ def filtered(scored_pairs: DataFrame, top_k: int | None = None, quantile: float
 
 def cosine(x: Column, y: Column) -> Column:
     """Cosine of two arrays of equal length, the denominator at least 1e-8."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return dot(x, y) / F.greatest(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), F.lit(1e-8))
 
 
-def unit(x: Column, size: int) -> Column:
-    """An array of known length over its norm, at least 1e-8."""
-    norm = F.greatest(F.sqrt(dot(x, x, size)), F.lit(1e-8))
-    return F.transform(x, lambda v: v / norm)
+def dot(x: Column, y: Column) -> Column:
+    """Inner product of arrays of equal length."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
-def dot(x: Column, y: Column, size: int) -> Column:
-    """Inner product of arrays of known length, one expression that is compiled as a whole."""
-    total = F.get(x, F.lit(0)) * F.get(y, F.lit(0))
-    for i in range(1, size):
-        total = total + F.get(x, F.lit(i)) * F.get(y, F.lit(i))
-    return total
+def unit(x: Column) -> Column:
+    """An array over its norm, at least 1e-8: done once a row, it leaves one inner product a pair."""
+    return F.transform(F.array(F.greatest(F.sqrt(dot(x, x)), F.lit(1e-8))), lambda norm: F.transform(x, lambda v: v / norm))[0]
 
 
 def resampled(values: Column, size: int) -> Column:

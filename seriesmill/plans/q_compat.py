@@ -171,18 +171,18 @@ def group_overlap(spark, sf_dir):
 def cosine_pairs(spark, sf_dir):
     e = _units(spark, sf_dir).where("label < 2")
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("x").alias("y"))
-    return rounded(e.withColumnRenamed("vec_id", "a").join(b, "label").where("a < b").select("a", "b", co.dot(F.col("x"), F.col("y"), 64).alias("cosine")))
+    return rounded(e.withColumnRenamed("vec_id", "a").join(b, "label").where("a < b").select("a", "b", co.dot(F.col("x"), F.col("y")).alias("cosine")))
 
 
 def _units(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", co.unit(F.col("embedding").cast("array<double>"), 64).alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", co.unit(F.col("embedding").cast("array<double>")).alias("x"))
 
 
 @registry(f"select target, source, {big('r')} as rank, round(c, 6) as cosine from (select a.vec_id as target, b.vec_id as source, c, row_number() over (partition by a.vec_id order by round(c, 9) desc, b.vec_id) as r from (select a, b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id)) where r <= 3")
 def donor_topk(spark, sf_dir):
     e = _units(spark, sf_dir)
     b = e.select(F.col("vec_id").alias("source"), "label", F.col("x").alias("y"))
-    c = e.withColumnRenamed("vec_id", "target").join(b, "label").where("target <> source").withColumn("cosine", co.dot(F.col("x"), F.col("y"), 64)).drop("x", "y")
+    c = e.withColumnRenamed("vec_id", "target").join(b, "label").where("target <> source").withColumn("cosine", co.dot(F.col("x"), F.col("y"))).drop("x", "y")
     r = c.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy(F.desc(F.round("cosine", 9)), "source")))
     return rounded(r.where("rank <= 3").select("target", "source", "rank", "cosine"))
 
