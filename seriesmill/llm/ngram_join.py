@@ -15,12 +15,15 @@ size band, the second level has one part.
 
 Search. Signatures are packed by block and dealt to buckets by their hash, about
 ``BUCKET_BYTES`` of text each. In a bucket, equal signatures of up to ``SMALL``
-sets give all their pairs. A heavy signature gives a star around its smallest
-document. Stars are verified first and contracted to components; only pairs that
-lie in different components are verified after that. Heavy signatures end with
-an exact pass: a set that has fewer heavy signatures than it must share (m - k)
-has no partner that only heavy signatures find; the others are paired across
-components within their signature. No pair that links two components is lost.
+sets give all their pairs, counted. A heavy signature gives a star around its
+smallest document. A pair stays a candidate if its common signatures, with the
+heavy ones that either set could share, reach the number that both must share
+(m - k). Of these, the stars and each set's first pair are verified by the exact
+intersection and contracted to components; the others are verified where they
+lie in different components. Heavy signatures end with an exact pass: a set that
+has fewer heavy signatures than it must share has no partner that only heavy
+signatures find; the others are paired across components by their rarest heavy
+signatures. No pair that links two components is lost.
 
 Exact copies are one class from the start, linked through its smallest doc_id.
 
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesmill.llm.components import components
@@ -73,7 +77,10 @@ def differences(a, b):
 
 
 def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signature, row and must-share count for the sets value[offsets[i]:offsets[i+1]], each sorted."""
+    """Signature, row and must-share count for the sets value[offsets[i]:offsets[i+1]], each sorted.
+
+    Bits 16 to 23 of a signature are its space, the others a hash.
+    """
     size = np.diff(offsets)
     low, top, parts = spaces(int(size.max(initial=0)))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -100,7 +107,8 @@ def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             row, part = np.r_[row, void // int(parts[i])], np.r_[part, void % int(parts[i])]
             total = np.r_[total, np.zeros(len(void), np.uint64)]
         salt = mix(np.array([i + 1], np.uint64))[0]
-        out.append((mix(total ^ mix(part.astype(np.uint64) + salt)), rows[row], np.maximum(share, 1)[row]))
+        mark = mix(total ^ mix(part.astype(np.uint64) + salt)) & ~(np.uint64(0xFF) << np.uint64(16)) | np.uint64(i) << np.uint64(16)
+        out.append((mark, rows[row], np.maximum(share, 1)[row]))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -115,6 +123,10 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 PACKED = "bucket int, docs binary, sizes binary, marks binary, place binary, share binary"
 
 
+def space_of(mark: np.ndarray) -> np.ndarray:
+    return ((mark >> np.uint64(16)) & np.uint64(0xFF)).astype(np.int64)
+
+
 def _pack(n_buckets: int):
     """Rows of documents to rows of packed signatures, one for each block and bucket."""
 
@@ -128,7 +140,9 @@ def _pack(n_buckets: int):
                 mark, row, share, bucket = mark[order], row[order], np.minimum(share[order], 255).astype(np.uint8), bucket[order]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
                 doc, size = ids[first : first + rows], np.diff(offsets).astype(np.int32)
-                made = [(int(doc[0]) % n_buckets if rows else 0, doc.tobytes(), size.tobytes(), b"", b"", b"")]
+                _, one = np.unique(row << 8 | space_of(mark), return_index=True)  # a signature of each set and space
+                own = row[one]
+                made = [(int(doc[0]) % n_buckets if rows else 0, doc[own].tobytes(), size[own].tobytes(), space_of(mark[one]).astype(np.uint8).tobytes(), b"", share[one].tobytes())]
                 for a, b in zip(cut, np.r_[cut, len(bucket)][1:], strict=True):
                     used, place = np.unique(row[a:b], return_inverse=True)
                     marks = mark[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 bits: more collisions only mean more checks
@@ -139,64 +153,66 @@ def _pack(n_buckets: int):
     return run
 
 
-#: kind: 0 star pair, 1 other pair, 2 heavy (mark, doc, must-share), 3 (doc, size).
-FOUND = "kind int, a long, b long, c long"
+#: kind: 0 pair of heavy signatures, 1 pair of light ones, both (a, b, number) by space; 2 heavy (mark, doc, must-share); 3 (doc, size, must-share) by space.
+FOUND = "kind int, a long, b long, c long, space int"
 
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted_pairs(a: np.ndarray, b: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (pair, space) of two ends, the smaller first, and how often each occurs: a, b, number, space."""
     a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    fresh &= a != b
-    return a[fresh], b[fresh]
+    order = np.lexsort((space, b, a))
+    a, b, space = a[order], b[order], space[order]
+    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (space[1:] != space[:-1])]) if len(a) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[head, len(a)])
+    a, b, space = a[head], b[head], space[head]
+    two = a != b
+    return a[two], b[two], count[two], space[two]
+
+
+def _pairs_of(mark: np.ndarray, doc: np.ndarray, share: np.ndarray) -> list[tuple]:
+    """FOUND columns of the signatures that several documents have."""
+    order = np.argsort(mark, kind="stable")
+    head = np.flatnonzero(np.r_[True, mark[order][1:] != mark[order][:-1]])
+    count = np.diff(np.r_[head, len(mark)])
+    order, count = order[np.repeat(count > 1, count)], count[count > 1]
+    mark, doc, share = mark[order], doc[order], share[order]
+    if not len(count):
+        return []
+    head = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
+    space = space_of(mark)
+    ends: list[tuple] = []
+    for m in range(2, SMALL + 1):
+        group = head[count == m]
+        if len(group):
+            i, j = np.triu_indices(m, 1)
+            ends.append((doc[group[:, None] + i].ravel(), doc[group[:, None] + j].ravel(), np.repeat(space[group], len(i))))
+    out = [(1, *_counted_pairs(*(np.concatenate(x) for x in zip(*ends, strict=True))))] if ends else []
+    heavy = np.repeat(count > SMALL, count)
+    if heavy.any():
+        pivot = np.repeat(np.minimum.reduceat(doc, head), count)
+        out.append((0, *_counted_pairs(pivot[heavy], doc[heavy], space[heavy])))
+        out.append((2, mark[heavy].view(np.int64), doc[heavy], share[heavy].astype(np.int64), space[heavy]))
+    return out
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """One bucket: pairs of documents with a signature in common."""
     docs, marks, shares, out = [], [], [], []
     for own, sizes, mark, place, share in zip(*(table.column(c).to_pylist() for c in ("docs", "sizes", "marks", "place", "share")), strict=True):
-        own = np.frombuffer(own, np.int64)
-        if sizes:
-            out.append((3, own, np.frombuffer(sizes, np.int32).astype(np.int64), np.zeros(len(own), np.int64)))
+        own, share = np.frombuffer(own, np.int64), np.frombuffer(share, np.uint8)
+        if sizes or not len(own):
+            out.append((3, own, np.frombuffer(sizes, np.int32).astype(np.int64), share.astype(np.int64), np.frombuffer(mark, np.uint8).astype(np.int64)))
             continue
         full = np.zeros((len(mark) // 6, 8), np.uint8)
         full[:, 2:] = np.frombuffer(mark, np.uint8).reshape(-1, 6)
         docs.append(own[np.frombuffer(place, np.uint16 if len(own) < 1 << 16 else np.uint32)])
         marks.append(full.view(np.uint64).ravel())
-        shares.append(np.frombuffer(share, np.uint8))
+        shares.append(share)
     if docs:
-        doc, mark, share = np.concatenate(docs), np.concatenate(marks), np.concatenate(shares)
-        order = np.argsort(mark, kind="stable")
-        mark = mark[order]
-        head = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
-        count = np.diff(np.r_[head, len(mark)])
-        more = count > 1
-        order = order[np.repeat(more, count)]
-        count = count[more]
-        mark, doc, share = mark[np.repeat(more, np.diff(np.r_[head, len(mark)]))], doc[order], share[order]
-        head = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
-        if len(head):
-            pivot = np.repeat(np.minimum.reduceat(doc, head), count)
-            out.append((0, *_distinct_pairs(pivot, doc)))
-            pairs_a, pairs_b = [], []
-            for m in range(3, SMALL + 1):
-                group = head[count == m]
-                if len(group):
-                    i, j = np.triu_indices(m, 1)
-                    pairs_a.append(doc[group[:, None] + i].ravel())
-                    pairs_b.append(doc[group[:, None] + j].ravel())
-            if pairs_a:
-                out.append((1, *_distinct_pairs(np.concatenate(pairs_a), np.concatenate(pairs_b))))
-            heavy = np.repeat(count > SMALL, count)
-            out.append((2, mark[heavy].view(np.int64), doc[heavy], share[heavy].astype(np.int64)))
-    columns = [[], [], [], []]
-    for part in out:
-        n = len(part[1])
-        for c, values in zip(columns, (np.full(n, part[0], np.int32), part[1], part[2], part[3] if len(part) > 3 else np.zeros(n, np.int64)), strict=True):
-            c.append(values)
-    arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-    return pa.table([pa.array(x.astype(t)) for x, t in zip(arrays, (np.int32, np.int64, np.int64, np.int64), strict=True)], names=["kind", "a", "b", "c"])
+        out += _pairs_of(np.concatenate(marks), np.concatenate(docs), np.concatenate(shares))
+    kinds = np.concatenate([np.full(len(part[1]), part[0], np.int32) for part in out]) if out else np.zeros(0, np.int32)
+    columns = [np.concatenate([part[k] for part in out]) if out else np.zeros(0, np.int64) for k in (1, 2, 3, 4)]
+    return pa.table([pa.array(kinds), *(pa.array(c.astype(np.int64)) for c in columns[:3]), pa.array(columns[3].astype(np.int32))], names=["kind", "a", "b", "c", "space"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +249,46 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("a_in <> b_in").select("a", "b")
 
 
+def _candidates(found: DataFrame, heavy: DataFrame) -> DataFrame:
+    """a, b, star of the pairs that have enough signatures of a space in common to link, as far as counts can tell.
+
+    The heavy signatures that a pair has in common are counted where its smaller document is their
+    pivot; for the rest stand all the heavy signatures that both have.
+    """
+    pairs = found.where("kind < 2").groupBy("a", "b", "space").agg(F.sum("c").alias("count"), F.max(F.col("kind") == 0).alias("star"))
+    must = found.where("kind = 3").groupBy(F.col("a").alias("doc"), "space").agg(F.min("c").alias("must"))
+    counts = heavy.groupBy("doc", "space").agg(F.count("*").alias("n"))
+    known = checkpointed(must.join(counts, ["doc", "space"], "left").select("doc", "space", "must", F.coalesce("n", F.lit(0)).alias("n")))
+    for end in ("a", "b"):
+        named = known.select(F.col("doc").alias(end), "space", F.col("must").alias(f"{end}_must"), F.col("n").alias(f"{end}_heavy"))
+        pairs = pairs.join(named, [end, "space"])
+    enough = F.col("count") + F.least("a_heavy", "b_heavy") >= F.greatest("a_must", "b_must")
+    return pairs.where(enough).groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def _heavy_pairs(heavy: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs across components that have as many heavy signatures in common as they must share.
+
+    Only pairs without a light signature in common are still unknown here, and they share must-share
+    heavy ones, each with two components among its documents. So documents with fewer of these drop
+    out, and of h signatures, the rarest first, h - must + 1 are enough to meet a partner.
+    """
+    named = labels.select(F.col("node").alias("doc"), "component")
+    rows = heavy.join(named, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    by_doc = W.partitionBy("doc", "space")
+    for _ in range(2):
+        open_marks = rows.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("df")).where("low <> high").select("mark", "df")
+        rows = checkpointed(rows.drop("df").join(open_marks, "mark").withColumn("h", F.count("*").over(by_doc)).where("h >= share").drop("h"))
+    order = F.row_number().over(by_doc.orderBy("df", "mark"))
+    first = rows.withColumns({"k": order, "h": F.count("*").over(by_doc)}).where(F.col("k") <= F.col("h") - F.col("share") + 1)
+    other = first.select("mark", F.col("doc").alias("b"), F.col("component").alias("b_in"))
+    pairs = first.select("mark", F.col("doc").alias("a"), "component").join(other, "mark").where("a < b and component <> b_in").select("a", "b").distinct()
+    lists = rows.groupBy("doc").agg(F.collect_list("mark").alias("marks"), F.min("share").alias("must"))  # a document's own signatures
+    for end in ("a", "b"):
+        pairs = pairs.join(lists.select(F.col("doc").alias(end), F.col("marks").alias(f"{end}_marks"), F.col("must").alias(f"{end}_must")), end)
+    return pairs.where(F.size(F.array_intersect("a_marks", "b_marks")) >= F.greatest("a_must", "b_must")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -247,26 +303,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(16, -(-int(size) // BUCKET_BYTES))
     found = checkpointed(reps.mapInArrow(_pack(n_buckets), PACKED).groupBy("bucket").applyInArrow(_meet, FOUND))
-    pairs = found.where("kind < 2")
-
-    links = checkpointed(_verified(pairs.where("kind = 0").select("a", "b").distinct(), reps))
-    labels = components(links)
-    tried = pairs.where("kind = 0").select("a", "b").distinct()
-    rest = _across(pairs.where("kind = 1").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), labels)
-    links = checkpointed(links.unionByName(_verified(rest, reps)))
+    heavy = found.where("kind = 2").select(F.col("a").alias("mark"), F.col("b").alias("doc"), F.col("c").alias("share"), "space")
+    heavy = heavy.groupBy("mark", "doc", "space").agg(F.min("share").alias("share"))
+    pairs = checkpointed(_candidates(found, heavy))
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(pairs.where("star").select("a", "b"))
+    first = checkpointed(first.distinct())
+    links = checkpointed(_verified(first, reps))
     labels = components(links)
-
-    heavy = found.where("kind = 2").select(F.col("a").alias("mark"), F.col("b").alias("doc"), F.col("c").alias("share"))
-    bound = heavy.groupBy("doc").agg(F.count("*").alias("n"), F.min("share").alias("least")).where("n >= least").select("doc")
-    named = labels.select(F.col("node").alias("doc"), "component")
-    heavy = heavy.join(bound, "doc", "left_semi").join(named, "doc", "left").select("mark", "doc", F.coalesce("component", "doc").alias("component"))
-    open_marks = heavy.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("mark")
-    heavy = checkpointed(heavy.join(open_marks, "mark", "left_semi"))
-    if not heavy.isEmpty():
-        other = heavy.select("mark", F.col("doc").alias("b"), F.col("component").alias("b_in"))
-        rest = heavy.withColumnRenamed("doc", "a").join(other, "mark").where("a < b and component <> b_in").select("a", "b").distinct()
-        links = checkpointed(links.unionByName(_verified(rest.join(tried, ["a", "b"], "left_anti"), reps)))
+    rest = checkpointed(_across(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels))
+    if not rest.isEmpty():
+        links = checkpointed(links.unionByName(_verified(rest, reps)))
         labels = components(links)
+    rest = checkpointed(_heavy_pairs(heavy, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        labels = components(links.unionByName(_verified(rest, reps)))
 
     sizes = found.where("kind = 3").select(F.col("a").alias("rep"), F.col("b").alias("n_shingles"))
     by_text = members  # a class has one text, and its representative that text's size
