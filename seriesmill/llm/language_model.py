@@ -280,6 +280,24 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> LogBil
     return LogBilinear(parts)
 
 
+def _frequent(counts: DataFrame, most: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all words above the least count that leaves at most ``most`` of them, most frequent first.
+
+    That count comes from the number of words of each count, a table that is small, so no task gathers the words.
+    """
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()
+    least, held = None, 0
+    for row in sizes:
+        held += row["words"]
+        if held > most:
+            break
+        least = row["n"]
+    top = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).toArrow()
+    key, n = (top.column(c).to_numpy().astype(np.int64) for c in ("hash", "n"))
+    order = np.lexsort((key, -n))
+    return key[order].view(np.uint64), n[order]
+
+
 SCORES = "row long, hash long, times int, n_tokens long, n_known long, base double, score double"
 
 
@@ -327,9 +345,7 @@ def scores(docs: DataFrame, training: DataFrame, text: str = "text") -> DataFram
     spark = docs.sparkSession
     counts = checkpointed(word_counts(training, text))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "hash").limit(SHORT).toArrow()
-    key, n = (top.column(c).to_numpy().astype(np.int64) for c in ("hash", "n"))
-    vocabulary = Vocabulary.of(key.view(np.uint64), n, int(total), int(distinct))
+    vocabulary = Vocabulary.of(*_frequent(counts), int(total), int(distinct))
     model = train(training, vocabulary, text)
     sent = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(model)
     every = docs.select("row", F.col(text).alias("text")).mapInArrow(_scorer(*sent), SCORES)
