@@ -51,7 +51,7 @@ SHINGLE = 5
 OVER, UNDER = 3, 4
 SMALL = 16
 BUCKET_BYTES = 16 << 20
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 BROADCAST_IDS = 1_000_000
 BAND = 1.4
 
