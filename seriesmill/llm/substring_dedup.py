@@ -1,21 +1,33 @@
-"""Substring dedup: content-defined chunks by a gear rolling hash.
+"""Substring dedup: every passage of whole words that two documents share, found by window minimisers.
 
-A chunk ends where the low bits of the gear hash of the last bytes are zero, so
-a border depends on the ``BITS`` bytes before it alone: an insertion moves the
-borders near it and no others. Chunks have about 32 bytes and ``MAX_CHUNK`` at
-most. Every chunk's digest is looked up over the corpus; of a digest that two
-documents have, the first place (smallest doc_id, then place) is the original. A run of
-neighbouring chunks that all occur elsewhere and cover ``MIN_RUN`` bytes or more
-is a repeated span; shorter runs are common phrases and stay. The copies' part
-of a repeated span is what ``deduplicated`` removes.
+A window is a piece of ``least`` (``MIN_RUN``) bytes or ``MIN_WORDS`` words that
+would be too short without its first unit or without its last. Units are words;
+in a word of over ``LONG_WORD`` bytes every character is one. Any repeated passage
+of that length is a union of windows another document has too, so windows alone
+are compared, in two passes over the texts:
 
-Digests are aggregated before the shuffle, and the join back to the chunks is a
-sort-merge join that adaptive execution splits where one digest is hot.
+1. The shortest window at each unit names one of its grams (pieces of ``GRAM``
+   bytes or ``GRAM_WORDS`` words), the one of smallest hash, the first if equal.
+   This depends on the window's bytes alone, so equal windows name equal grams, at
+   any entropy and whatever surrounds them. Neighbouring windows that name one
+   place are a group, hashed whole.
+2. A gram that two documents have, always in equal groups, makes those repeated
+   as they are. Where groups of one gram differ, each of their windows is hashed,
+   and those that two documents have are repeated. The union of both in a document
+   are its runs, exact to the unit. The first place (smallest doc_id, then place)
+   of a group or window is the original. Copies are what copied ones cover and no
+   original does; ``deduplicated`` removes them.
 
-Defined cases: a null or empty text has no chunks; a digest within one
+Both passes aggregate before the shuffle, and join back by sort-merge joins that
+adaptive execution splits where one digest is hot. No pair of documents is made.
+The second pass ships texts with a shared gram only, found by a bitmap of
+``BUCKETS`` x 32768 bits; a text it lets by without one costs its shuffle alone.
+
+Defined cases: a null or empty text has no windows; a window within one
 document alone is no repeat; rows that repeat a doc_id with another text
 are documents of their own, told apart by ``version``, a hash of the text; equal
-rows are one document. Borders are byte offsets and never lie within a character.
+rows are one document. Windows are compared by 64-bit hashes. Borders are byte
+offsets and never lie within a character.
 """
 
 from __future__ import annotations
@@ -24,20 +36,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from seriesmill.llm.text import Block, blocks, column
+from seriesmill.llm.text import SPACE, Block, blocks, column, slice_hash, words
+from seriesmill.session import checkpointed
 
 BITS, MAX_CHUNK, MIN_RUN = 5, 256, 160
+MIN_WORDS, GRAM, GRAM_WORDS, LONG_WORD = 51, 64, 20, 64
+BUCKETS = 1024
 _GEAR = np.random.default_rng(20240602).integers(0, 1 << 16, 256, dtype=np.uint16)
-CHUNKS = "doc_id long, version long, chunk int, start int, stop int, digest long"
+GRAMS = "digest long, whole long, doc long"
+WINDOWS = "digest long, doc_id long, version long, start int, stop int"
+RUNS = "doc_id long, version long, runs array<struct<start:int,stop:int,copies:array<struct<start:int,stop:int>>>>"
 
 
 def borders(block: Block, bits: int = BITS, most: int = MAX_CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Chunk starts and stops of a block; rows and long stretches end chunks too."""
+    """Content-defined chunks of a block, starts and stops: a chunk ends where the low bits of a gear hash are zero.
+
+    Rows and long stretches end chunks too. Repeats are not found by them.
+    """
     gear = np.zeros(len(block.data), np.uint16)
     values = _GEAR[block.data]
     for k in range(bits):  # the low bits of sum(G[b] << age): older bytes have been shifted out
@@ -58,70 +77,194 @@ def borders(block: Block, bits: int = BITS, most: int = MAX_CHUNK) -> tuple[np.n
     return starts[keep], stops[keep]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, versions = column(batch, "doc_id"), column(batch, "version")
-        for block in blocks(column(batch, "text")):
-            starts, stops = borders(block)
-            if not len(starts):
-                continue
-            row = np.searchsorted(block.ends, starts, "right") - 1
-            first = np.searchsorted(row, np.arange(block.rows))
-            data = memoryview(block.data)
-            digest = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array(row + block.first)),
-                    versions.take(pa.array(row + block.first)),
-                    pa.array((np.arange(len(row)) - first[row]).astype(np.int32)),
-                    pa.array((starts - block.ends[row]).astype(np.int32)),
-                    pa.array((stops - block.ends[row]).astype(np.int32)),
-                    pa.array(digest.view(np.int64)),
-                ],
-                names=["doc_id", "version", "chunk", "start", "stop", "digest"],
-            )
+def _units(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, word numbers and rows of a block's units."""
+    w = words(block, SPACE, lower=False)
+    long = w.end - w.start > LONG_WORD
+    if not long.any():
+        return w.start, w.end, np.arange(len(w.start)), w.row
+    depth = np.zeros(len(block.data) + 1, np.int8)
+    depth[w.start[long]] += 1
+    depth[w.end[long]] -= 1
+    letters = np.flatnonzero((np.cumsum(depth[:-1], dtype=np.int8) > 0) & ((block.data & 0xC0) != 0x80))
+    start = np.union1d(w.start[~long], letters)
+    word = np.searchsorted(w.start, start, "right") - 1
+    end = w.end[word]
+    end = np.where(long[word], np.minimum(np.r_[start[1:], len(block.data)], end), end)
+    return start, end, word, w.row[word]
 
 
-def _versioned(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+def _last(start: np.ndarray, end: np.ndarray, word: np.ndarray, least: int, most_words: int) -> np.ndarray:
+    """The last unit of the piece that begins at each unit; ascending, len(start) if the block ends before."""
+    by_words = np.searchsorted(word, word + most_words - 1, "right") - 1
+    by_words[word + most_words - 1 > word[-1]] = len(start)
+    return np.minimum(np.searchsorted(end, start + least), by_words)
+
+
+def _windows(block: Block, least: int) -> tuple[np.ndarray, ...]:
+    """Starts, ends and rows of units; the first, last and farthest last unit of windows, the hash of the gram each names, and where groups begin."""
+    start, end, word, row = _units(block)
+    if not len(start):
+        return start, end, row, start, start, start, np.zeros(0, np.uint64), start
+    last = _last(start, end, word, least, MIN_WORDS)
+    stop = np.searchsorted(row, row, "right")
+    first = np.flatnonzero(last < stop)
+    far = np.maximum(last[first], np.minimum(np.r_[last[1:], len(start)], stop)[first] - 1)  # until the next start's piece is long enough
+    last = last[first]
+    to = _last(start, end, word, min(GRAM, least), GRAM_WORDS)
+    grams = slice_hash(block.data, start, end[np.minimum(to, len(start) - 1)])
+    final = np.searchsorted(to, last, "right") - 1  # the last gram that ends within the window
+    level = np.frexp(final - first + 1)[1] - 1
+    named = np.empty(len(first), np.int64)
+    best = np.arange(len(start))  # of the 2 ** k grams from each on
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        left, right = best[first[at]], best[final[at] - (1 << k) + 1]
+        named[at] = np.where(grams[right] < grams[left], right, left)
+        if 1 << k < len(best):
+            left, right = best[: -(1 << k)], best[1 << k :]
+            best = np.r_[np.where(grams[right] < grams[left], right, left), best[-(1 << k) :]]
+    return start, end, row, first, last, far, grams[named], np.flatnonzero(np.diff(named, prepend=-1))
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a chunk: doc_id (the key), version, chunk number, byte borders, digest."""
-    return _versioned(docs, key, text).mapInArrow(_chunks, CHUNKS)
+def _closing(group: np.ndarray, n: int) -> np.ndarray:
+    """The last window of each group of n windows."""
+    return np.r_[group[1:], n][: len(group)] - 1
+
+
+def _gram_rows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = column(batch, "doc").to_numpy()
+            for block in blocks(column(batch, "text")):
+                start, end, row, first, _, far, gram, group = _windows(block, least)
+                whole = slice_hash(block.data, start[first[group]], end[far[_closing(group, len(first))]])
+                row, gram = row[first[group]], gram[group]
+                order = np.lexsort((whole, gram, row))
+                row, gram, whole = row[order], gram[order], whole[order]
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])
+                row, gram, whole = row[fresh], gram[fresh], whole[fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[row + block.first])], names=["digest", "whole", "doc"])
+
+    return run
+
+
+def _window_rows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, versions, alike, mixed = (column(batch, name) for name in ("doc_id", "version", "alike", "mixed"))
+            for block in blocks(column(batch, "text")):
+                start, end, row, first, last, far, gram, group = _windows(block, least)
+                among = lambda x, sets: np.isin(x, sets.slice(block.first, block.rows).flatten().to_numpy().view(np.uint64))  # noqa: E731, B023
+                closing = _closing(group, len(first))
+                same = among(gram[group], alike)
+                hit = among(gram, mixed)
+                n = (far - last)[hit] + 1
+                stop = end[np.r_[far[closing[same]], np.repeat(last[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+                first = np.r_[first[group[same]], np.repeat(first[hit], n)]
+                start, row = start[first], row[first]
+                at = pa.array(row + block.first)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(slice_hash(block.data, start, stop).view(np.int64)),
+                        ids.take(at),
+                        versions.take(at),
+                        pa.array((start - block.ends[row]).astype(np.int32)),
+                        pa.array((stop - block.ends[row]).astype(np.int32)),
+                    ],
+                    names=["digest", "doc_id", "version", "start", "stop"],
+                )
+
+    return run
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _less(spans: list[tuple[int, int]], holes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """spans without holes; both ascending and apart."""
+    out, h = [], 0
+    for a, b in spans:
+        while h < len(holes) and holes[h][1] <= a:
+            h += 1
+        k = h
+        while k < len(holes) and holes[k][0] < b:
+            if holes[k][0] > a:
+                out.append((a, holes[k][0]))
+            a = max(a, holes[k][1])
+            k += 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+_SPAN = [("start", pa.int32()), ("stop", pa.int32())]
+_RUNS = pa.list_(pa.struct([*_SPAN, ("copies", pa.list_(pa.struct(_SPAN)))]))
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs, windows = [], column(batch, "windows")
+        start, stop, copy = (windows.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        ends = np.r_[0, np.cumsum(windows.value_lengths().to_numpy())]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            spans = list(zip(start[a:b].tolist(), stop[a:b].tolist(), strict=True))
+            copied = copy[a:b].tolist()
+            own = _union([s for s, c in zip(spans, copied, strict=True) if not c])
+            cuts = _less(_union([s for s, c in zip(spans, copied, strict=True) if c]), own)
+            each, k = [], 0
+            for x, y in _union(spans):
+                to = k
+                while to < len(cuts) and cuts[to][1] <= y:
+                    to += 1
+                each.append({"start": x, "stop": y, "copies": [{"start": c, "stop": d} for c, d in cuts[k:to]]})
+                k = to
+            runs.append(each)
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "version"), pa.array(runs, _RUNS)], names=["doc_id", "version", "runs"])
+
+
+def _versioned(docs: DataFrame, key: str, text: str) -> DataFrame:
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+    return own.withColumn("doc", F.xxhash64("doc_id", "version"))
 
 
-_PIECES = "array<struct<start:int,stop:int>>"
+def _held(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The texts whose doc is in sets, and a few more, without a shuffle of texts."""
+    place = F.pmod("doc", F.lit(BUCKETS << 15))
+    bucket, bit = F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(F.lit(32767))
+    maps = sets.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = texts.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket")
+    return found.where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("bucket", "bits")
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_RUN) -> DataFrame:
     """A row a document with repeats: doc_id, version and runs, an array of (start, stop, copies) in bytes.
 
-    copies are the chunks of the run that aren't originals.
+    copies are the parts of the run that no original covers.
     """
-    every = chunks(docs, key, text)
-    place = F.struct("doc_id", "version", "chunk")
-    shared = every.groupBy("digest").agg(F.min(place).alias("original"), F.max(F.struct("doc_id", "version")).alias("last"))
-    shared = shared.where(F.struct("original.doc_id", "original.version") != F.col("last")).drop("last")
-    own = every.join(shared, "digest").select("doc_id", "version", F.struct("chunk", "start", "stop", (place != F.col("original")).alias("copy")).alias("c"))
-    # the repeated chunks of one document, in order: as many as its own text has
-    rows = own.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("c")).alias("chunks"))
-    empty = F.array().cast(f"array<struct<start:int,stop:int,copies:{_PIECES}>>")
-
-    def step(acc, c):
-        piece = F.when(c["copy"], F.array(F.struct(c["start"].alias("start"), c["stop"].alias("stop")))).otherwise(F.array().cast(_PIECES))
-        grown = F.struct(acc["start"].alias("start"), c["stop"].alias("stop"), F.concat(acc["copies"], piece).alias("copies"), acc["done"].alias("done"))
-        closed = F.when(
-            acc["stop"] - acc["start"] >= least, F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["stop"].alias("stop"), acc["copies"].alias("copies"))))
-        ).otherwise(acc["done"])
-        fresh = F.struct(c["start"].alias("start"), c["stop"].alias("stop"), piece.alias("copies"), closed.alias("done"))
-        return F.when(acc["stop"] == c["start"], grown).otherwise(fresh)
-
-    start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"), F.array().cast(_PIECES).alias("copies"), empty.alias("done"))
-    end = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"), F.lit(False).alias("copy"))
-    pieces = F.transform("chunks", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["copy"].alias("copy")))
-    runs = F.aggregate(F.concat(pieces, F.array(end)), start, step, lambda acc: acc["done"])
-    return rows.select("doc_id", "version", runs.alias("runs")).where(F.size("runs") > 0)
+    texts = _versioned(docs, key, text)
+    grams = texts.select("doc", "text").mapInArrow(_gram_rows(least), GRAMS)
+    extent = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("doc", "whole")]
+    shared = grams.groupBy("digest").agg(*extent).where("min_doc <> max_doc").select("digest", (F.col("min_whole") == F.col("max_whole")).alias("same"))
+    of_kind = lambda same, name: F.collect_set(F.when(same, F.col("digest"))).alias(name)
+    sets = grams.select("digest", "doc").join(shared, "digest").groupBy("doc").agg(of_kind(F.col("same"), "alike"), of_kind(~F.col("same"), "mixed"))
+    sets = checkpointed(sets)
+    windows = _held(texts, sets).join(sets, "doc").select("doc_id", "version", "text", "alike", "mixed").mapInArrow(_window_rows(least), WINDOWS)
+    place = F.struct("doc_id", "version", "start")
+    first = windows.groupBy("digest").agg(F.min(place).alias("original"), F.max(F.struct("doc_id", "version")).alias("last"))
+    first = first.where(~F.struct("original.doc_id", "original.version").eqNullSafe(F.col("last"))).drop("last")
+    own = windows.join(first, "digest").select("doc_id", "version", F.struct("start", "stop", (~place.eqNullSafe(F.col("original"))).alias("copy")).alias("w"))
+    # the repeated windows of one document: as many as its own text has
+    return own.groupBy("doc_id", "version").agg(F.collect_list("w").alias("windows")).mapInArrow(_run_rows, RUNS)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_RUN) -> DataFrame:

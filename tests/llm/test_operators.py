@@ -339,6 +339,35 @@ def test_substring_dedup(spark, docs, empty):
     assert substring_dedup.repeated_runs(empty).count() == 0
 
 
+def plain_repeats(texts):
+    """Runs by comparing every window of whole words of every text."""
+    held, spans = collections.defaultdict(set), collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        w = [m.span() for m in re.finditer(rb"[^ \t-\r]+", t.encode())]
+        enough = lambda a, b: w[b][1] - w[a][0] >= 160 or b - a >= 50  # noqa: E731, B023
+        for a in range(len(w)):
+            for b in range(a, min(a + 90, len(w))):
+                if enough(a, b):
+                    held[t.encode()[w[a][0] : w[b][1]]].add(i)
+                    spans[i].append((w[a][0], w[b][1]))
+    return {i: runs for i, s in spans.items() if (runs := substring_dedup._union([(a, b) for a, b in s if len(held[texts[i].encode()[a:b]]) > 1]))}
+
+
+def test_every_repeated_passage_is_found(spark):
+    texts, passages, r = [], [], random.Random(11)
+    for n in range(120):
+        few = ["with"] if n % 6 == 0 else ["a", "b"] if n % 6 == 1 else None
+        passages.append(" ".join(r.choice(few) for _ in range(51 + n % 10)) + f" end{n}" if few else prose(51 + n % 10, r))
+        texts += [f"{prose(r.randrange(5, 60), r)} l{n}{side} {passages[-1]} r{n}{side} {prose(r.randrange(5, 60), r)}" for side in "xy"]
+    texts += ["漢字" * 60 + "壱" * 3, "弐" + "漢字" * 60]
+    got = by_id(substring_dedup.repeated_runs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    for i in range(240):
+        a = texts[i].encode().index(passages[i // 2].encode())
+        assert any(s.start <= a and s.stop >= a + len(passages[i // 2].encode()) for s in got[i].runs), i
+    assert {240, 241} <= set(got)
+    assert {i: [(s.start, s.stop) for s in x.runs] for i, x in got.items() if i < 240} == plain_repeats(texts[:240])
+
+
 def test_chunks_resist_insertions():
     from seriesmill.llm.text import blocks
     import pyarrow as pa
