@@ -1,74 +1,93 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document's set holds the hashes of its distinct five-word shingles. Two sets
-link when their Jaccard similarity is at least ``SIMILAR``.
+link when their Jaccard similarity is at least ``SIMILAR``, which is 3/4.
 
 Spaces. Space i serves the pairs whose smaller set has a size in band i; the
 larger set has up to 4/3 of that. Sets of sizes a and b that link differ in at
-most (a + b) / 7 shingles. Each space parts the shingle domain into n1 ranges of
-hashes; a set's signature for a range is a hash of all its shingles there. A set
-of size a with m non-empty ranges and at most k < m differences to any partner
-shares at least m - k non-empty ranges, and so signatures, with each partner.
-Sets with m <= k also emit their empty ranges, so that two of these meet too.
-This is PartEnum with one-element subsets: the number of ranges follows the
-size band, the second level has one part.
+most (a + b) / 7 shingles. A space parts the shingle domain into n1 ranges of
+hashes and each range into n2 parts, and enumerates the subsets of n2 - k2 parts
+of every range: a set's signature for a subset is a hash of its shingles there.
+A difference destroys the signatures of the subsets that hold its part, so k
+differences destroy at most ``lost`` of them, and a set with m non-empty
+signatures shares at least m - lost with each partner. Sets with m <= lost also
+emit their empty signatures, so that two of these meet too. Spaces of sets under
+``ENUMERATED`` shingles take the pairs of three parts (n2 = 3, k2 = 1); the
+signatures of larger sets, which would be half as many again as their shingles
+allow for, have one part a range (n2 = 1, k2 = 0).
 
 Search. Signatures are packed by block and dealt to buckets by their hash, about
-``BUCKET_BYTES`` of text each. In a bucket, equal signatures of up to ``SMALL``
-sets give all their pairs, counted. A heavy signature gives a star around its
-smallest document. A pair stays a candidate if its common signatures, with the
-heavy ones that either set could share, reach the number that both must share
-(m - k). Of these, the stars and each set's first pair are verified by the exact
-intersection and contracted to components; the others are verified where they
-lie in different components. Heavy signatures end with an exact pass: a set that
-has fewer heavy signatures than it must share has no partner that only heavy
-signatures find; the others are paired across components by their rarest heavy
-signatures. No pair that links two components is lost.
+``BUCKET_BYTES`` of text each; a block sends one entry for a signature that
+several of its documents have, so a hot signature has an entry a block and not a
+document. A document stays in a space if it has as many signatures with others
+as it must share. Of its h ones there, the rarest first, h - must + 1 are enough
+to meet each partner (prefix filter). Documents that meet are clusters.
+
+Verification. A cluster's documents are dealt to blocks by a hash, and each pair
+of blocks is a tile, one group in one task; small clusters share a tile. A tile
+gets each set once and intersects all its pairs inside the task: shingles of few
+documents by their lists, those of many as a product of 0/1 matrices. Only a
+tree of the linked documents leaves it, at most a row a document, and never a
+row a pair. A document is sent to as many tiles as its cluster has blocks, so a
+cluster costs the square of its size over the block size; no exact join of sets
+that are all about as similar as the bound can do less than compare them.
 
 Exact copies are one class from the start, linked through its smallest doc_id.
 
 Defined cases: a null, empty or wordless text has size 0 and its own doc_id as
 component; rows that repeat a doc_id are one node, which links when one of its
-texts does; a null doc_id keeps a null component; extra columns are ignored.
+texts does, and has the size of the largest set; a null doc_id has its set's size and a null component, and links
+with nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesmill.llm.components import components
-from seriesmill.llm.text import SPACE, blocks, column, mix, shingles, words
+from seriesmill.llm.text import SPACE, blocks, column, mix, release, shingles, words
 from seriesmill.session import checkpointed
 
 SHINGLE = 5
 #: Similarity as a fraction, 3/4; the bounds above follow from it.
 OVER, UNDER = 3, 4
-SMALL = 16
 BUCKET_BYTES = 16 << 20
 BLOCK = 1 << 20
-BROADCAST_IDS = 1_000_000
-BAND = 1.4
+BROADCAST_IDS = 250_000
+BAND, ENUMERATED = 1.4, 64
+#: Documents and shingles of a block of a tile, and the most documents of a shingle whose pairs are listed.
+TILE_DOCS, TILE_SHINGLES, LISTED = 512, 1 << 19, 24
 
 
-def spaces(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each space up to sets of size ``most``: least size, largest size, ranges."""
-    low, low_sizes, top_sizes, parts = 1, [], [], []
+def spaces(most: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Of each space up to sets of size ``most``: least size, largest smaller set, largest size, n1, n2, k2."""
+    low, out = 1, []
     while low <= most:
         after = max(low + 1, int(low * BAND))
         small = after - 1
         top = small * UNDER // OVER
-        k = differences(small, top)
-        low_sizes.append(low)
-        top_sizes.append(top)
-        parts.append(int(np.ceil(1.15 * (k + 1) + 1.5 * np.sqrt(k + 1) + 1)) if small > 1 else 1)
+        d = differences(small, top) + 1
+        if small == 1:
+            out.append((low, small, top, 1, 1, 0))
+        elif low < ENUMERATED:
+            out.append((low, small, top, int(np.ceil(0.6 * d + 0.75 * np.sqrt(d) + 0.5)), 3, 1))
+        else:
+            out.append((low, small, top, int(np.ceil(1.15 * d + 1.5 * np.sqrt(d) + 1)), 1, 0))
         low = after
-    return np.array(low_sizes), np.array(top_sizes), np.array(parts)
+    return out
+
+
+def lost(k: np.ndarray, n1: int, n2: int, k2: int) -> np.ndarray:
+    """Most signatures that k differences destroy: in each range the first part takes most, so they spread."""
+    if k2 == 0:
+        return np.minimum(k, n1)
+    return np.minimum(k, n1) * (n2 - 1) + np.clip(k - n1, 0, n1)
 
 
 def differences(a, b):
@@ -82,29 +101,36 @@ def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     Bits 16 to 23 of a signature are its space, the others a hash.
     """
     size = np.diff(offsets)
-    low, top, parts = spaces(int(size.max(initial=0)))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(len(low)):
-        rows = np.flatnonzero((size >= low[i]) & (size <= top[i]))
+    for i, (low, small, top, n1, n2, k2) in enumerate(spaces(int(size.max(initial=0)))):
+        rows = np.flatnonzero((size >= low) & (size <= top))
         if not len(rows):
             continue
-        n, k = size[rows], 0
-        small = low[i + 1] - 1 if i + 1 < len(low) else max(int(low[i]), int(max(low[i] + 1, int(low[i] * BAND)) - 1))
-        k = np.where(n <= small, differences(n, np.minimum(n * UNDER // OVER, top[i])), differences(n, np.minimum(n, small)))
+        n = size[rows]
+        k = np.where(n <= small, differences(n, np.minimum(n * UNDER // OVER, top)), differences(n, np.minimum(n, small)))
         at = np.repeat(offsets[rows] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         own, h = np.repeat(np.arange(len(rows)), n), value[at]
-        part = ((h >> np.uint64(32)) * np.uint64(parts[i])) >> np.uint64(32)
-        cell = own * int(parts[i]) + part.astype(np.int64)
+        cells = n1 * n2
+        cell = own * cells + (((h >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
         head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         cell, total = cell[head], np.add.reduceat(mix(h), head)
-        row, part = cell // int(parts[i]), cell % int(parts[i])
+        number = n1
+        if k2:
+            whole = np.zeros(len(rows) * cells, np.uint64)
+            whole[cell] = total
+            subsets = np.array(list(combinations(range(n2), n2 - k2)))
+            number = n1 * len(subsets)
+            whole = whole.reshape(-1, n1, n2)[:, :, subsets].sum(axis=-1, dtype=np.uint64).ravel()
+            cell = np.flatnonzero(whole)
+            total = whole[cell]
+        row, part = cell // number, cell % number
         m = np.bincount(row, minlength=len(rows))
-        share = m - k
+        share = m - lost(k, n1, n2, k2)
         poor = np.flatnonzero(share <= 0)
         if len(poor):
-            full = (poor[:, None] * int(parts[i]) + np.arange(parts[i])).ravel()
+            full = (poor[:, None] * number + np.arange(number)).ravel()
             void = full[~np.isin(full, cell)]
-            row, part = np.r_[row, void // int(parts[i])], np.r_[part, void % int(parts[i])]
+            row, part = np.r_[row, void // number], np.r_[part, void % number]
             total = np.r_[total, np.zeros(len(void), np.uint64)]
         salt = mix(np.array([i + 1], np.uint64))[0]
         mark = mix(total ^ mix(part.astype(np.uint64) + salt)) & ~(np.uint64(0xFF) << np.uint64(16)) | np.uint64(i) << np.uint64(16)
@@ -121,172 +147,215 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 PACKED = "bucket int, docs binary, sizes binary, marks binary, place binary, share binary"
+#: Rows of a bucket: a signature that others have too (value; must-share), or with must-share -1 a document's size.
+FOUND = "doc long, value long, must int"
 
 
-def space_of(mark: np.ndarray) -> np.ndarray:
-    return ((mark >> np.uint64(16)) & np.uint64(0xFF)).astype(np.int64)
+def _packed_row(bucket: int, docs: np.ndarray, sizes: np.ndarray | None, mark: np.ndarray, row: np.ndarray, share: np.ndarray) -> tuple:
+    """One row of ``PACKED``: 48 bits of each signature (more collisions only mean more checks) and the place of its document among those named."""
+    if sizes is not None:
+        return bucket, docs.tobytes(), sizes.astype(np.int32).tobytes(), b"", b"", b""
+    used, place = np.unique(row, return_inverse=True)
+    marks = mark.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    return bucket, docs[used].tobytes(), b"", marks, place.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes(), share.tobytes()
 
 
 def _pack(n_buckets: int):
-    """Rows of documents to rows of packed signatures, one for each block and bucket."""
+    """Rows of documents to rows of packed signatures, one for each block and bucket.
+
+    Signatures that several documents of a block have go out at once, to any bucket (negative: known to
+    be shared); to their own bucket goes one entry with must-share 0, which stands for all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(column(batch, "doc_id").cast(pa.int64()))
             for first, rows, value, offsets in _sets(batch):
                 mark, row, share = signatures(value, offsets)
-                bucket = (mark % np.uint64(n_buckets)).astype(np.int64)
-                order = np.lexsort((row, bucket))
-                mark, row, share, bucket = mark[order], row[order], np.minimum(share[order], 255).astype(np.uint8), bucket[order]
+                mark &= ~np.uint64(0xFFFF)
+                share = np.minimum(share, 255).astype(np.uint8)
+                doc, any_bucket = ids[first : first + rows], int(mix(np.array([ids[first]]).view(np.uint64))[0] % np.uint64(n_buckets))
+                bucket = (mix(mark) % np.uint64(n_buckets)).astype(np.int64)
+                order = np.lexsort((mark, bucket))
+                mark, row, share, bucket = mark[order], row[order], share[order], bucket[order]
+                head = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]) if len(mark) else np.zeros(0, np.int64)
+                several = np.repeat(np.diff(np.r_[head, len(mark)]) > 1, np.diff(np.r_[head, len(mark)]))
+                made = [_packed_row(any_bucket, doc, np.diff(offsets), mark, row, share)]
+                if several.any():
+                    made.append(_packed_row(-1 - any_bucket, doc, None, mark[several], row[several], share[several]))
+                share = np.where(several, np.uint8(0), share)
+                mark, row, share, bucket = mark[head], row[head], share[head], bucket[head]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
-                doc, size = ids[first : first + rows], np.diff(offsets).astype(np.int32)
-                _, one = np.unique(row << 8 | space_of(mark), return_index=True)  # a signature of each set and space
-                own = row[one]
-                made = [(int(doc[0]) % n_buckets if rows else 0, doc[own].tobytes(), size[own].tobytes(), space_of(mark[one]).astype(np.uint8).tobytes(), b"", share[one].tobytes())]
                 for a, b in zip(cut, np.r_[cut, len(bucket)][1:], strict=True):
-                    used, place = np.unique(row[a:b], return_inverse=True)
-                    marks = mark[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 bits: more collisions only mean more checks
-                    made.append((int(bucket[a]), doc[used].tobytes(), b"", marks, place.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes(), share[a:b].tobytes()))
+                    made.append(_packed_row(int(bucket[a]), doc, None, mark[a:b], row[a:b], share[a:b]))
                 kinds = [pa.int32(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=["bucket", "docs", "sizes", "marks", "place", "share"])
+        release()
 
     return run
 
 
-#: kind: 0 pair of heavy signatures, 1 pair of light ones, both (a, b, number) by space; 2 heavy (mark, doc, must-share); 3 (doc, size, must-share) by space.
-FOUND = "kind int, a long, b long, c long, space int"
-
-
-def _counted_pairs(a: np.ndarray, b: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (pair, space) of two ends, the smaller first, and how often each occurs: a, b, number, space."""
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((space, b, a))
-    a, b, space = a[order], b[order], space[order]
-    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (space[1:] != space[:-1])]) if len(a) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[head, len(a)])
-    a, b, space = a[head], b[head], space[head]
-    two = a != b
-    return a[two], b[two], count[two], space[two]
-
-
-def _pairs_of(mark: np.ndarray, doc: np.ndarray, share: np.ndarray) -> list[tuple]:
-    """FOUND columns of the signatures that several documents have."""
-    order = np.argsort(mark, kind="stable")
-    head = np.flatnonzero(np.r_[True, mark[order][1:] != mark[order][:-1]])
-    count = np.diff(np.r_[head, len(mark)])
-    order, count = order[np.repeat(count > 1, count)], count[count > 1]
-    mark, doc, share = mark[order], doc[order], share[order]
-    if not len(count):
-        return []
-    head = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
-    space = space_of(mark)
-    ends: list[tuple] = []
-    for m in range(2, SMALL + 1):
-        group = head[count == m]
-        if len(group):
-            i, j = np.triu_indices(m, 1)
-            ends.append((doc[group[:, None] + i].ravel(), doc[group[:, None] + j].ravel(), np.repeat(space[group], len(i))))
-    out = [(1, *_counted_pairs(*(np.concatenate(x) for x in zip(*ends, strict=True))))] if ends else []
-    heavy = np.repeat(count > SMALL, count)
-    if heavy.any():
-        pivot = np.repeat(np.minimum.reduceat(doc, head), count)
-        out.append((0, *_counted_pairs(pivot[heavy], doc[heavy], space[heavy])))
-        out.append((2, mark[heavy].view(np.int64), doc[heavy], share[heavy].astype(np.int64), space[heavy]))
-    return out
-
-
 def _meet(table: pa.Table) -> pa.Table:
-    """One bucket: pairs of documents with a signature in common."""
+    """One bucket: the documents' sizes, and the signatures that several documents have."""
     docs, marks, shares, out = [], [], [], []
-    for own, sizes, mark, place, share in zip(*(table.column(c).to_pylist() for c in ("docs", "sizes", "marks", "place", "share")), strict=True):
+    for bucket, own, sizes, mark, place, share in zip(*(table.column(c).to_pylist() for c in ("bucket", "docs", "sizes", "marks", "place", "share")), strict=True):
         own, share = np.frombuffer(own, np.int64), np.frombuffer(share, np.uint8)
-        if sizes or not len(own):
-            out.append((3, own, np.frombuffer(sizes, np.int32).astype(np.int64), share.astype(np.int64), np.frombuffer(mark, np.uint8).astype(np.int64)))
+        if not len(mark):
+            out.append((own, np.frombuffer(sizes, np.int32).astype(np.int64), np.full(len(own), -1, np.int32)))
             continue
         full = np.zeros((len(mark) // 6, 8), np.uint8)
         full[:, 2:] = np.frombuffer(mark, np.uint8).reshape(-1, 6)
-        docs.append(own[np.frombuffer(place, np.uint16 if len(own) < 1 << 16 else np.uint32)])
-        marks.append(full.view(np.uint64).ravel())
-        shares.append(share)
+        named = own[np.frombuffer(place, np.uint16 if len(own) < 1 << 16 else np.uint32)], full.view(np.int64).ravel(), share.astype(np.int32)
+        if bucket < 0:
+            out.append(named)
+        else:
+            for held, x in zip((docs, marks, shares), named, strict=True):
+                held.append(x)
     if docs:
-        out += _pairs_of(np.concatenate(marks), np.concatenate(docs), np.concatenate(shares))
-    kinds = np.concatenate([np.full(len(part[1]), part[0], np.int32) for part in out]) if out else np.zeros(0, np.int32)
-    columns = [np.concatenate([part[k] for part in out]) if out else np.zeros(0, np.int64) for k in (1, 2, 3, 4)]
-    return pa.table([pa.array(kinds), *(pa.array(c.astype(np.int64)) for c in columns[:3]), pa.array(columns[3].astype(np.int32))], names=["kind", "a", "b", "c", "space"])
+        doc, mark, share = (np.concatenate(x) for x in (docs, marks, shares))
+        order = np.argsort(mark, kind="stable")
+        doc, mark, share = doc[order], mark[order], share[order]
+        count = np.diff(np.r_[np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]), len(mark)])
+        keep = np.repeat(count > 1, count) & (share > 0)
+        out.append((doc[keep], mark[keep], share[keep]))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    release()
+    return pa.table(columns, names=["doc", "value", "must"])
+
+
+def _clusters(found: DataFrame) -> DataFrame:
+    """doc, cluster: documents that may link are in one cluster."""
+    space = F.shiftright("value", 16).bitwiseAND(F.lit(255)).alias("space")
+    shared = found.where("must > 0").groupBy("doc", space).agg(F.collect_set("value").alias("marks"), F.max("must").alias("must"))  # a document's own signatures
+    open_docs = checkpointed(shared.where("size(marks) >= must"))
+    rows = open_docs.select("doc", "space", "must", F.explode("marks").alias("mark"))
+    number = checkpointed(rows.groupBy("mark").agg(F.count("*").alias("df")).where("df > 1"))
+    ranked = rows.join(number, "mark").groupBy("doc", "space").agg(F.sort_array(F.collect_list(F.struct("df", "mark"))).alias("marks"), F.max("must").alias("must"))
+    first = ranked.where("size(marks) >= must").select("doc", F.explode(F.expr("slice(marks, 1, size(marks) - must + 1)")["mark"]).alias("mark"))
+    first = checkpointed(first)
+    pivots = checkpointed(first.groupBy("mark").agg(F.min("doc").alias("a"), F.max("doc").alias("high")).where("a < high").select("mark", "a"))
+    edges = checkpointed(first.join(pivots, "mark").select("a", F.col("doc").alias("b")).distinct())
+    named = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    return named.unionByName(named.select(F.col("cluster").alias("doc"), "cluster").distinct())
+
+
+def _tiled(found: DataFrame, clusters: DataFrame) -> DataFrame:
+    """doc, cluster, blocks (of the cluster), block of each document of a cluster."""
+    sizes = found.where("must = -1").groupBy("doc").agg(F.max("value").alias("size"))
+    of_docs = checkpointed(clusters.join(sizes, "doc"))
+    whole = of_docs.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    number = F.greatest(F.ceil(F.col("n") / TILE_DOCS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
+    many = checkpointed(whole.select("cluster", number.alias("blocks")).where("blocks > 1"))
+    named = of_docs.join(many, "cluster", "left").select("doc", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    return checkpointed(named.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, _, offsets in _sets(batch):
+            n = np.diff(offsets).astype(np.int64)
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(n), none], names=["doc_id", "n_shingles", "component_id"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingle hashes of each document, beside its place."""
     for batch in batches:
-        ids = column(batch, "doc_id").cast(pa.int64())
         for first, rows, value, offsets in _sets(batch):
-            sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.slice(first, rows), sets], names=["doc_id", "members"])
+            sets = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64))).cast(pa.list_(pa.int64()))
+            places = [column(batch, c).slice(first, rows) for c in ("doc_id", "cluster", "blocks", "block")]
+            yield pa.RecordBatch.from_arrays([*places, sets], names=["doc", "cluster", "blocks", "block", "members"])
+    release()
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is (left_semi) or isn't (left_anti) among ``ids``; few ids are broadcast."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    return docs.join(ids, "doc_id", how)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by their exact intersection."""
-    pairs = checkpointed(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _only(docs, ids, "left_semi").mapInArrow(_set_rows, "doc_id long, members array<long>")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    linked = UNDER * common >= OVER * (F.size("x") + F.size("y") - common)
-    return pairs.join(left, "a").join(right, "b").where(linked & (F.size("x") > 0)).select("a", "b").distinct()
+def common_pairs(cluster: np.ndarray, value: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of owners of one cluster with shingles in common, the smaller first, and how many these are.
 
+    ``cluster`` is by owner and ascending, ``owner`` is below n.
+    """
+    order = np.lexsort((owner, value, cluster[owner]))
+    value, owner = value[order], owner[order]
+    of = cluster[owner]
+    head = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])]) if len(value) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[head, len(value)])
+    keys = []
+    for d in range(2, LISTED + 1):
+        at = head[count == d]
+        if len(at):
+            i, j = np.triu_indices(d, 1)
+            keys.append((owner[at[:, None] + i] * n + owner[at[:, None] + j]).ravel())
+    listed, times = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    dense = np.flatnonzero(count > LISTED)
+    crowded = np.unique(of[head[dense]])
+    apart = ~np.isin(cluster[listed // n], crowded) if len(listed) else np.zeros(0, bool)
+    yield listed[apart] // n, listed[apart] % n, times[apart]
+    for c in crowded.tolist():
+        low, high = np.searchsorted(cluster, [c, c + 1])
+        size = high - low
+        runs = dense[of[head[dense]] == c]
+        both = np.zeros((size, size), np.float32)
+        for k in range(0, len(runs), 1024):
+            part = runs[k : k + 1024]
+            length = count[part]
+            places = np.repeat(head[part] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+            held = np.zeros((size, len(part)), np.float32)
+            held[owner[places] - low, np.repeat(np.arange(len(part)), length)] = 1
+            both += held @ held.T
+        inside = cluster[listed // n] == c
+        both[listed[inside] // n - low, listed[inside] % n - low] += times[inside]
+        i, j = np.nonzero(np.triu(both, 1))
+        yield i + low, j + low, both[i, j].astype(np.int64)
+
+
+def _verify(table: pa.Table) -> pa.Table:
+    """One tile: an edge a, b for each document but the first of those that links of the tile join."""
+    cluster = table.column("cluster").to_numpy()
+    table = table.take(pa.array(np.argsort(cluster, kind="stable")))
+    doc, cluster, block = (table.column(c).to_numpy() for c in ("doc", "cluster", "block"))
+    members = table.column("members").combine_chunks()
+    size = members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    value, owner = members.flatten().to_numpy(), np.repeat(np.arange(len(doc)), size)
+    _, cluster = np.unique(cluster, return_inverse=True)
+    label = np.arange(len(doc))
+    ends = []
+    across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+    for a, b, common in common_pairs(cluster, value, owner, len(doc)):
+        linked = UNDER * common >= OVER * (size[a] + size[b] - common)
+        if across:  # pairs within a block belong to the tile of that block alone
+            linked &= block[a] != block[b]
+        ends.append((a[linked], b[linked]))
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(doc)))
+    release()
+    return pa.table([doc[label[moved]], doc[moved]], names=["a", "b"])
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    for end in ("a", "b"):
-        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-        pairs = pairs.join(named, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
-    return pairs.where("a_in <> b_in").select("a", "b")
 
+def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with ``ids`` by doc_id; few ids are broadcast."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    return docs.join(ids, "doc_id", how)
 
-def _candidates(found: DataFrame, heavy: DataFrame) -> DataFrame:
-    """a, b, star of the pairs that have enough signatures of a space in common to link, as far as counts can tell.
 
-    The heavy signatures that a pair has in common are counted where its smaller document is their
-    pivot; for the rest stand all the heavy signatures that both have.
-    """
-    pairs = found.where("kind < 2").groupBy("a", "b", "space").agg(F.sum("c").alias("count"), F.max(F.col("kind") == 0).alias("star"))
-    must = found.where("kind = 3").groupBy(F.col("a").alias("doc"), "space").agg(F.min("c").alias("must"))
-    counts = heavy.groupBy("doc", "space").agg(F.count("*").alias("n"))
-    known = checkpointed(must.join(counts, ["doc", "space"], "left").select("doc", "space", "must", F.coalesce("n", F.lit(0)).alias("n")))
-    for end in ("a", "b"):
-        named = known.select(F.col("doc").alias(end), "space", F.col("must").alias(f"{end}_must"), F.col("n").alias(f"{end}_heavy"))
-        pairs = pairs.join(named, [end, "space"])
-    enough = F.col("count") + F.least("a_heavy", "b_heavy") >= F.greatest("a_must", "b_must")
-    return pairs.where(enough).groupBy("a", "b").agg(F.max("star").alias("star"))
-
-
-def _heavy_pairs(heavy: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across components that have as many heavy signatures in common as they must share.
-
-    Only pairs without a light signature in common are still unknown here, and they share must-share
-    heavy ones, each with two components among its documents. So documents with fewer of these drop
-    out, and of h signatures, the rarest first, h - must + 1 are enough to meet a partner.
-    """
-    named = labels.select(F.col("node").alias("doc"), "component")
-    rows = heavy.join(named, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    by_doc = W.partitionBy("doc", "space")
-    for _ in range(2):
-        open_marks = rows.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("df")).where("low <> high").select("mark", "df")
-        rows = checkpointed(rows.drop("df").join(open_marks, "mark").withColumn("h", F.count("*").over(by_doc)).where("h >= share").drop("h"))
-    order = F.row_number().over(by_doc.orderBy("df", "mark"))
-    first = rows.withColumns({"k": order, "h": F.count("*").over(by_doc)}).where(F.col("k") <= F.col("h") - F.col("share") + 1)
-    other = first.select("mark", F.col("doc").alias("b"), F.col("component").alias("b_in"))
-    pairs = first.select("mark", F.col("doc").alias("a"), "component").join(other, "mark").where("a < b and component <> b_in").select("a", "b").distinct()
-    lists = rows.groupBy("doc").agg(F.collect_list("mark").alias("marks"), F.min("share").alias("must"))  # a document's own signatures
-    for end in ("a", "b"):
-        pairs = pairs.join(lists.select(F.col("doc").alias(end), F.col("marks").alias(f"{end}_marks"), F.col("must").alias(f"{end}_must")), end)
-    return pairs.where(F.size(F.array_intersect("a_marks", "b_marks")) >= F.greatest("a_must", "b_must")).select("a", "b")
+def _links(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges a, b between documents that join the same components as all links do."""
+    tiled = _tiled(found, _clusters(found))
+    total = found.where("must = -1").agg(F.sum("value")).first()[0] or 0
+    groups = max(16, -(-int(total) // TILE_SHINGLES))
+    sets = _only(docs, tiled.withColumnRenamed("doc", "doc_id"), "inner").mapInArrow(_set_rows, "doc long, cluster long, blocks int, block int, members array<long>")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = sets.withColumn("other", other).select(
+        F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(groups))).alias("tile"),
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "cluster", "block", "members",
+    )
+    return dealt.groupBy("tile", "low", "high").applyInArrow(_verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,44 +363,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = every.where("doc_id is not null")
     hashed = known.select("doc_id", F.md5("text").alias("digest"))
-    classes = hashed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = checkpointed(hashed.join(classes, "digest").select("doc_id", "digest", "rep"))
+    classes = checkpointed(hashed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    members = checkpointed(hashed.join(classes, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
     mixed = members.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("own")).where("own").select("doc_id")
     reps = _only(known, checkpointed(copies.join(mixed, "doc_id", "left_anti")), "left_anti")
+    several = checkpointed(members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b"))
 
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(16, -(-int(size) // BUCKET_BYTES))
     found = checkpointed(reps.mapInArrow(_pack(n_buckets), PACKED).groupBy("bucket").applyInArrow(_meet, FOUND))
-    heavy = found.where("kind = 2").select(F.col("a").alias("mark"), F.col("b").alias("doc"), F.col("c").alias("share"), "space")
-    heavy = heavy.groupBy("mark", "doc", "space").agg(F.min("share").alias("share"))
-    pairs = checkpointed(_candidates(found, heavy))
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(pairs.where("star").select("a", "b"))
-    first = checkpointed(first.distinct())
-    links = checkpointed(_verified(first, reps))
+    links = _links(reps, found)
+    if not several.isEmpty():  # an id with several texts joins their classes
+        own = members.join(several.select("doc_id"), "doc_id")
+        links = links.unionByName(own.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     labels = components(links)
-    rest = checkpointed(_across(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels))
-    if not rest.isEmpty():
-        links = checkpointed(links.unionByName(_verified(rest, reps)))
-        labels = components(links)
-    rest = checkpointed(_heavy_pairs(heavy, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = components(links.unionByName(_verified(rest, reps)))
-
-    sizes = found.where("kind = 3").select(F.col("a").alias("rep"), F.col("b").alias("n_shingles"))
-    by_text = members  # a class has one text, and its representative that text's size
-    one = sizes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
-    named = labels.select(F.col("node").alias("rep"), "component")
-    out = by_text.join(one, "rep", "left").join(named, "rep", "left")
+
+    sizes = found.where("must = -1").groupBy(F.col("doc").alias("rep")).agg(F.max("value").alias("n_shingles"))
+    named = checkpointed(sizes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left"))
+    out = members.join(named, "rep", "left")
     n = F.coalesce("n_shingles", F.lit(0)).cast("long")
     out = out.select("doc_id", n.alias("n_shingles"), F.when(n == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
-    lost = every.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(lost)
+    return out.unionByName(every.where("doc_id is null").mapInArrow(_sizes, out.schema))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near copies: the smallest doc_id's; rows without a key stay."""
+    """One row of each group of near copies: the smallest doc_id's, with its least text where that id repeats; rows without a key stay."""
     found = near_duplicates(docs, key, text)
     gone = checkpointed(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
-    return docs.join(gone, key, "left_anti")
+    left = docs.join(gone, key, "left_anti")
+    again = checkpointed(left.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    if again.isEmpty():
+        return left
+    one = left.join(again, key).groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce(text, F.lit("")))).alias("row")).select("row.*")
+    return left.join(again, key, "left_anti").unionByName(one)

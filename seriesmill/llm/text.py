@@ -12,6 +12,9 @@ chance of that is about 1e-5 for a vocabulary of ten million words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,5 +171,13 @@ def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(row, np.arange(rows + 1))
 
 
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system, as its worker stays for the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

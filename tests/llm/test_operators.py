@@ -219,6 +219,44 @@ def test_ngram_join_repeated_and_missing_ids(spark):
     assert rows == [(False, 1, 1), (False, 3, 1), (False, 3, 1), (False, 9, 9), (True, 0, 0)]
 
 
+def test_ngram_join_of_a_group_below_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_DOCS", 64)  # the group's pairs are dealt to tiles
+    r = random.Random(4)
+    hot = [f"h{k}" for k in range(150)]
+    texts = [edited(hot, 4 + r.randrange(3), r) for _ in range(300)]  # pairs of similarity 0.5 to 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = by_id(ngram_join.near_duplicates(df))
+    want = plain_components(texts)
+    assert len({c for _, c in want}) > 20
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == want
+
+
+def test_ngram_join_of_an_id_with_several_texts(spark):
+    a, b, c = prose(80), prose(80), prose(80)
+    rows = [(1, a), (2, b), (7, a), (7, b), (8, c), (9, c), (9, c), (12, c + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1))
+    assert {(x.doc_id, x.component_id) for x in ngram_join.near_duplicates(df).collect()} == {(1, 1), (2, 1), (7, 1), (8, 8), (9, 8), (12, 8)}
+    assert [x.doc_id for x in ngram_join.representatives(df).orderBy("doc_id").collect()] == [1, 8]
+    twice = spark.createDataFrame([(1, a, 5), (1, b, 6), (3, c, 7)], "doc_id long, text string, rep long")
+    assert [tuple(x) for x in ngram_join.representatives(twice).orderBy("doc_id").collect()] == [(1, min(a, b), 5 if a < b else 6), (3, c, 7)]
+
+
+def test_signatures_guarantee():
+    r = np.random.default_rng(2)
+    for size in (2, 3, 5, 9, 17, 30, 50, 63, 64, 90, 200):
+        for _ in range(30):
+            a = np.unique(r.integers(0, 1 << 63, size, np.int64).astype(np.uint64) * np.uint64(2))
+            keep = a[r.permutation(len(a))[: len(a) - r.integers(0, len(a) // 4 + 1)]]
+            b = np.unique(np.r_[keep, r.integers(0, 1 << 63, r.integers(0, len(a) // 4 + 1), np.int64).astype(np.uint64)])
+            common = len(np.intersect1d(a, b))
+            if 4 * common < 3 * (len(a) + len(b) - common):
+                continue
+            mark, row, share = ngram_join.signatures(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
+            space = (mark >> np.uint64(16)) & np.uint64(255)
+            met = [len(np.intersect1d(mark[(row == 0) & (space == k)], mark[(row == 1) & (space == k)])) >= max(share[(row == 0) & (space == k)].max(initial=0), share[(row == 1) & (space == k)].max(initial=0), 1) for k in np.unique(space)]
+            assert any(met)
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 
