@@ -32,15 +32,15 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
-    scored = language_model.scores(docs, docs.where(F.coalesce(~held_out, F.lit(True))))
-    ids = docs.select("row", "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    return ids.join(scored, "row").drop("row")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return language_model.scores(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.Markov.fit(secret_scan.labelled_samples() + secret_scan.ordinary_tokens(docs))
+    found = secret_scan.with_spans(docs, model=model)
     of_kind = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     counts = [of_kind(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS]
     base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.KINDS))

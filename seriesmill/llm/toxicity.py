@@ -1,25 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Two interpolated Kneser-Ney models, toxic and ordinary, are counted from labelled
-texts. A class's pair counts are discounted towards its word counts, and those
-towards continuation counts that both classes share, so that a rare expression
-is smoothed alike in both. A text counts a word once, with the word before its
-first place, so that one text's own vocabulary isn't taken for its class. Pairs seen fewer than ``PAIR_CUTOFF`` times in all
-are left to the words. A word's evidence is the log of its toxic over its
-ordinary probability, given the word before it.
+Two Kneser-Ney models, toxic and ordinary, are counted from labelled texts; a
+text counts each distinct pair of consecutive words once, so that its own
+repetitions aren't taken for its class. A class's continuation count of a word is
+the number of distinct words it follows there. Discounted continuation counts
+back off to ``SHARED`` counts that every word has in both classes together, parted
+by the classes' sizes; discounted pair counts back off to as many, parted as the
+word's probabilities part it. So an expression that is rare in both classes says
+little, and no count is cut. A word's evidence is the log of its toxic over its
+ordinary probability, given the word before it; a pair that was never seen has
+its word's evidence.
 
 A text has two length-normalised features: the mean evidence of its words, and
 the mean of its ``PEAK`` words with the most evidence, clipped at ``CLIP``; the
-second keeps long texts from hiding a few toxic words. A logistic curve on both,
-fitted on labelled texts that the counts left out, gives the score.
+second keeps long texts from hiding a few toxic words. A logistic curve on both
+gives the score. It is fitted on all labelled texts, each with the counts of the
+``FOLDS`` - 1 other folds; the model then counts all of them.
 
 Fitting takes at most ``PER_CLASS`` labelled texts of each class, those with the
-smallest hash of their doc_id; all texts are scored whole.
+smallest hash of their doc_id; their pairs are made and counted on executors, in
+``FOLDS`` folds, and the driver gets the counts. All texts are scored whole.
 
 Defined cases: a null, empty or wordless text gets the score of no evidence; a
 doc_id with labels of both kinds counts as toxic; null labels are left out; with
 one class or none the score is 0 for every text; rows that repeat a doc_id are
-scored one by one; extra columns are kept.
+scored one by one, and count for the fit as one row, that with the largest text;
+extra columns are kept, but for one with the name of the score, which it
+replaces.
 """
 
 from __future__ import annotations
@@ -31,25 +38,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from seriesmill.llm.text import NOT_ALPHANUMERIC, blocks, column, mix, words
+from seriesmill.session import checkpointed
 
 PER_CLASS = 3000
-DISCOUNT, CLIP, PEAK = 0.75, 6.0, 2
-PAIR_CUTOFF = 20
+DISCOUNT, SHARED, CLIP, PEAK = 0.75, 2.0, 6.0, 2
+FOLDS = 3
 THRESHOLD = 0.7
 START = np.uint64(0x5EED)
 
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of the values of each."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[head], np.add.reduceat(values, head) if len(head) else values[:0]
-
-
 def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray, missing: float) -> np.ndarray:
     if not len(keys):
         return np.full(len(x), missing)
@@ -66,57 +67,43 @@ def _pairs(value: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 @dataclass
 class KneserNey:
-    """Evidence tables: of known pairs, of words as backoff, and of the word before an unknown pair."""
+    """Evidence of known pairs, and of words as their backoff."""
 
     pair: np.ndarray
     pair_evidence: np.ndarray
     word: np.ndarray
     word_evidence: np.ndarray
-    before: np.ndarray
-    before_evidence: np.ndarray
 
     @classmethod
-    def fit(cls, value: np.ndarray, before: np.ndarray, toxic: np.ndarray) -> KneserNey:
+    def fit(cls, value: np.ndarray, before: np.ndarray, counts: np.ndarray) -> KneserNey:
+        """Of distinct pairs: the word, the word before it, and the texts of each class (ordinary, toxic) that have the pair."""
         pair = mix(mix(before) + value)
-        known, first, total = np.unique(pair, return_index=True, return_counts=True)
-        word, at = np.unique(value, return_inverse=True)
-        shared = np.bincount(at[first], minlength=len(word)) + 1.0  # continuation counts of both classes
-        floor = 1 / (shared.sum() + 1)
-        shared /= shared.sum() + 1
-        kept = total >= PAIR_CUTOFF
-        known, pair_before, pair_word = known[kept], before[first[kept]], at[first[kept]]
-        head, under = np.unique(pair_before, return_inverse=True)
-        single, void, joint, open_mass = [], [], [], []
-        for c in (0, 1):
-            own = toxic == c
-            count = np.bincount(at[own], minlength=len(word)).astype(float)
-            n = max(count.sum(), 1)
-            free = DISCOUNT * (count > 0).sum() / n if own.any() else 1.0
-            single.append(np.maximum(count - DISCOUNT, 0) / n + free * shared)
-            void.append(free * floor)
-            of_pair = np.zeros(len(known))
-            seen, times = np.unique(pair[own], return_counts=True)
-            place = np.minimum(np.searchsorted(known, seen), max(len(known) - 1, 0))
-            hit = known[place] == seen if len(known) else np.zeros(len(seen), bool)
-            of_pair[place[hit]] = times[hit]
-            heads, times = np.unique(before[own], return_counts=True)
-            of_head = _lookup(heads, times, head, 0)[under]
-            direct = np.where(of_head > 0, np.maximum(of_pair - DISCOUNT, 0) / np.maximum(of_head, 1), 0)
-            mass = 1 - np.bincount(under, direct, len(head))
-            open_mass.append(np.maximum(mass, 1e-9))
-            joint.append(direct + mass[under] * single[c][pair_word])
-        ratio = lambda x: np.log(x[1]) - np.log(x[0])
-        return cls(known, ratio(joint), word, ratio(single) - ratio(void), head, ratio(open_mass))._with_floor(ratio(void))
-
-    def _with_floor(self, floor: float) -> KneserNey:
-        self.floor = float(floor)
-        return self
+        order = np.argsort(pair)
+        pair, value, before, counts = pair[order], value[order], before[order], counts[order].astype(float)
+        word, of_word = np.unique(value, return_inverse=True)
+        ordinary, toxic = (np.bincount(of_word, counts[:, c] > 0, len(word)) for c in (0, 1))
+        size = (toxic.sum() + 0.5) / (toxic.sum() + ordinary.sum() + 1)
+        evidence = _backed_off(toxic, ordinary, size)
+        head, of_head = np.unique(before, return_inverse=True)
+        after = [np.bincount(of_head, counts[:, c], len(head)) for c in (0, 1)]
+        part = ((after[1] + SHARED * size) / (after[0] + after[1] + SHARED))[of_head]
+        likely = 1 / (1 + np.exp(-(_odds(part) + evidence[of_word])))
+        return cls(pair, _backed_off(counts[:, 1], counts[:, 0], likely) + _odds(likely) - _odds(part), word, evidence)
 
     def evidence(self, value: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Log of toxic over ordinary probability of each word."""
         direct = _lookup(self.pair, self.pair_evidence, mix(mix(before) + value), np.nan)
-        back = self.floor + _lookup(self.word, self.word_evidence, value, 0.0) + _lookup(self.before, self.before_evidence, before, 0.0)
-        return np.clip(np.where(np.isnan(direct), back, direct), -CLIP, CLIP)
+        return np.clip(np.where(np.isnan(direct), _lookup(self.word, self.word_evidence, value, 0.0), direct), -CLIP, CLIP)
+
+
+def _odds(p: np.ndarray) -> np.ndarray:
+    return np.log(p) - np.log(1 - p)
+
+
+def _backed_off(toxic: np.ndarray, ordinary: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log ratio of discounted counts, with the shared counts parted by ``share``, over the odds of ``share``."""
+    own = [np.maximum(c - DISCOUNT, 0) + SHARED * p for c, p in ((toxic, share), (ordinary, 1 - share))]
+    return np.log(own[0]) - np.log(own[1]) - _odds(share)
 
 
 def features(evidence: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -158,14 +145,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
-def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of texts, and the row of each."""
-    values, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for block in blocks(texts):
-        w = words(block, NOT_ALPHANUMERIC)
-        values.append(w.hash)
-        rows.append(w.row + block.first)
-    return np.concatenate(values), np.concatenate(rows)
+def _labelled_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled texts to their distinct pairs: word, word before it, fold and class."""
+    for batch in batches:
+        y, fold = (np.asarray(column(batch, c)).astype(np.int32) for c in ("y", "fold"))
+        for block in blocks(column(batch, "text")):
+            w = words(block, NOT_ALPHANUMERIC)
+            before, row = _pairs(w.hash, w.row), w.row + block.first
+            one = np.unique(mix(mix(before) + w.hash) ^ mix(row.astype(np.uint64)), return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.hash[one].view(np.int64), before[one].view(np.int64), fold[row[one]], y[row[one]])], names=["value", "before", "fold", "y"])
+
+
+def _fold_features(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = sent.value
+        for batch in batches:
+            fold = np.asarray(column(batch, "fold"))
+            for block in blocks(column(batch, "text")):
+                w, own = words(block, NOT_ALPHANUMERIC), fold[block.first : block.first + block.rows]
+                x, before = np.zeros((block.rows, 2)), _pairs(w.hash, w.row)
+                for k in np.unique(own).tolist():
+                    x[own == k] = features(models[k].evidence(w.hash, before), w.row, block.rows)[own == k]
+                yield pa.RecordBatch.from_arrays([column(batch, c).slice(block.first, block.rows) for c in ("h", "y")] + [pa.array(c) for c in x.T], names=["h", "y", "mean", "peak"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -173,42 +176,44 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("y")).withColumn("h", F.xxhash64(key))
     ids = one.where("y = 1").orderBy("h").limit(per_class).unionByName(one.where("y = 0").orderBy("h").limit(per_class))  # 2 * per_class rows at most
     share = one.agg(F.avg("y")).first()[0] or 0.0
-    rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(ids), key).groupBy(key, "h").agg(F.max("y").alias("y"), F.max("_text").alias("_text"))
-    table = rows.select("h", "y", "_text").toArrow().sort_by("h")
-    y = table.column("y").to_numpy().astype(np.int64)
-    if len(set(y.tolist())) < 2:
+    fold = F.pmod(F.col("h"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(ids), key).groupBy(key, "h").agg(F.max("y").alias("y"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = checkpointed(rows.select("h", "y", fold, "text"))
+    parts = [F.count(F.when((F.col("fold") == k) & (F.col("y") == c), 1)).cast("int") for k in range(FOLDS) for c in (0, 1)]
+    pairs = rows.mapInArrow(_labelled_pairs, "value long, before long, fold int, y int").groupBy("value", "before")
+    table = pairs.agg(F.array(*parts).alias("n")).toArrow().sort_by([("value", "ascending"), ("before", "ascending")])
+    if not table.num_rows or rows.agg(F.count_distinct("y")).first()[0] < 2:
         return Model(None, np.zeros(3))
-    value, row = _hashed(table.column("_text").combine_chunks().fill_null(""))
-    before = _pairs(value, row)
-    fold = table.column("h").to_numpy() % 3 == 0  # for the curve
-    if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
-        fold[:] = True
-    counted = ~fold[row] if not fold.all() else np.ones(len(row), bool)
-    once = np.zeros(len(row), bool)
-    once[np.unique(value ^ mix(row.astype(np.uint64)), return_index=True)[1]] = True
-    counted &= once
-    tables = KneserNey.fit(value[counted], before[counted], y[row[counted]])
-    x = features(tables.evidence(value, before), row, len(y))[fold]
-    w = logistic(x, y[fold].astype(float))
-    sampled = y[fold].mean()
+    value, before = (table.column(c).to_numpy().view(np.uint64) for c in ("value", "before"))
+    counts = table.column("n").combine_chunks().flatten().to_numpy().reshape(-1, FOLDS, 2)
+    every, models = counts.sum(axis=1), []
+    for k in range(FOLDS):
+        others = every - counts[:, k]
+        seen = others.sum(axis=1) > 0
+        models.append(KneserNey.fit(value[seen], before[seen], others[seen]))
+    made = rows.mapInArrow(_fold_features(docs.sparkSession.sparkContext.broadcast(models)), "h long, y int, mean double, peak double").toArrow().sort_by("h")
+    y = made.column("y").to_numpy().astype(float)
+    w = logistic(np.c_[made.column("mean").to_numpy(), made.column("peak").to_numpy()], y)
     if 0 < share < 1:  # from the sample's share of toxic texts to that of all labels
-        w[0] += np.log(share / (1 - share)) - np.log(sampled / (1 - sampled))
-    return Model(tables, w)
+        w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    return Model(KneserNey.fit(value, before, every), w)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the toxicity score of each text, 0 to 1."""
+    """``docs`` with the toxicity score of each text, 0 to 1, as the last column."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
-    shape = docs.withColumn(out, F.lit(0.0)).schema
+    others = [c for c in docs.columns if c.lower() != out.lower()]
+    given = docs.select(F.col(text).alias("__text"), *others)
+    shape = T.StructType([*given.schema.fields[1:], T.StructField(out, T.DoubleType())])
     schema = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = [np.zeros(0)]
-            for block in blocks(column(batch, text)):
+            for block in blocks(batch.column(0)):
                 w = words(block, NOT_ALPHANUMERIC)
                 score.append(sent.value.score(w.hash, w.row, block.rows))
-            own = [c.cast(f.type) for c, f in zip(batch.columns, schema, strict=False)]
+            own = [c.cast(f.type) for c, f in zip(batch.columns[1:], schema, strict=False)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(score))], schema=schema)
 
-    return docs.mapInArrow(run, shape)
+    return given.mapInArrow(run, shape)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,40 +262,83 @@ def test_signatures_guarantee():
 
 
 def test_language_model(spark, docs):
-    train = docs.where("doc_id % 4 <> 1")
-    rows = docs.select("text", F.col("doc_id").alias("row"))
-    got = by_id(language_model.scores(rows, train), "row")
+    rows = docs.select("text", "host", F.col("doc_id").alias("row"))
+    got = by_id(language_model.scores(rows, F.col("row") % 4 != 1, ["row", "host"]), "row")
     word = re.compile("[^\x20\x09-\x0d]+")
     tokens = [[*word.findall(lower(t)), None] for t in TEXTS]
     c = collections.Counter(w for i, t in enumerate(tokens) if i % 4 != 1 for w in t)
     n, v = sum(c.values()), len(c)
     for i, t in enumerate(tokens):
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.host) == (len(t), sum(c[w] > 0 for w in t), n, "clash")
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
         assert r.score < 0
 
 
-def test_language_model_is_normalised():
-    vocab = language_model.Vocabulary.of(np.arange(1, 41).astype(np.uint64), np.arange(100, 60, -1), 3000, 60, units=8)
-    model = language_model.LogBilinear.start(vocab.noise)
-    given, row = np.array([1, 5, 2, 0]), np.zeros(4, np.int64)
-    total = sum(np.exp(model.log_probability(np.full(4, u), given, row)) for u in range(8))
-    assert total == pytest.approx(np.ones(4))
-
-
-def test_language_model_without_training(spark, docs):
-    got = language_model.scores(docs.select("text", F.col("doc_id").alias("row")), docs.limit(0)).collect()
+def small_vocabulary():
+    counts = np.r_[100, np.arange(100, 60, -1), 3, 2, 1]
+    return language_model.Vocabulary.of(np.r_[language_model.END, np.arange(1, 44).astype(np.uint64)], counts, int(counts.sum()) + 10, 50, named=4)
+
+
+def test_language_model_is_normalised_over_words():
+    v = small_vocabulary()
+    model = language_model.LogBilinear(v)
+    r = np.random.default_rng(0)
+    for p in model.parts:
+        p[:, : language_model.DIM + 1] += r.normal(0, 0.5, (len(p), language_model.DIM + 1)).astype(np.float32)
+    assert v.size == 1 + 29 + 1 and len(v.first) > 4
+    for context in ([], [3], [3, 7, 1, 29], [30] * 40):
+        ids = np.array([[*context, w] for w in range(v.size)]).ravel()
+        value = model.log_probability(ids, language_model.ages(np.full(v.size, len(context) + 1))).reshape(v.size, -1)[:, -1]
+        assert np.exp(value).sum() == pytest.approx(1)
+    _, ids, _ = v.look(np.arange(1, 44).astype(np.uint64))
+    shares = (v.look(np.arange(1, 44).astype(np.uint64))[0][ids == v.size - 1] + 1).sum() + 10 + 6 + 1  # the six words that aren't here, and the unseen
+    assert shares == v.rest
+
+
+def test_language_model_scores_against_a_plain_form():
+    v, r = small_vocabulary(), np.random.default_rng(1)
+    model = language_model.LogBilinear(v)
+    inputs, classes, outputs, scale = (p.astype(float) for p in model.parts)
+    d = language_model.DIM
+    text = r.integers(0, v.size, 60)
+    got = model.log_probability(text, language_model.ages(np.array([60])))
+    for i, w in enumerate(text):
+        before = [text[i - k] if i >= k else v.size for k in (1, 2)]
+        far = inputs[text[max(0, i - language_model.FAR) : i], :d].mean(axis=0) if i else np.zeros(d)
+        q = inputs[before[0], :d] * scale[0, :d] + inputs[before[1], :d] * scale[1, :d] + far * scale[2, :d]
+        c = v.of_id[w]
+        own = np.flatnonzero(v.of_id == c)
+        top, low = classes[:, :d] @ q + classes[:, d], outputs[own, :d] @ q + outputs[own, d]
+        want = top[c] - np.log(np.exp(top).sum()) + outputs[w, :d] @ q + outputs[w, d] - np.log(np.exp(low).sum()) if len(own) > 1 else top[c] - np.log(np.exp(top).sum())
+        assert got[i] == pytest.approx(want, abs=1e-4)
+
+
+def test_language_model_without_training(spark, docs, empty):
+    rows = docs.select("text", "doc_id")
+    got = language_model.scores(rows, F.lit(False), ["doc_id"]).collect()
     assert len(got) == len(TEXTS) and all(r.n_known == 0 and r.train_tokens == 0 for r in got)
+    assert language_model.scores(empty.select("text", "doc_id"), F.lit(True), ["doc_id"]).count() == 0
 
 
-def test_language_model_beats_the_base(spark):
+def test_language_model_beats_the_base_under_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD", 3000)  # several shards a round
     r = random.Random(4)
     langs = [[f"{p}{k}" for k in range(40)] for p in "abc"]
-    texts = [" ".join(r.choice(langs[i % 3]) for _ in range(60)) for i in range(600)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string")
-    got = language_model.scores(df, df.where("row < 500")).where("row >= 500").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1] * 0.95
+    texts = [" ".join(r.choice(langs[i % 3]) for _ in range(60)) for i in range(900)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    seen = []
+    for parts in (1, 8):
+        got = by_id(language_model.scores(df.repartition(parts, "id"), F.col("id") < 800, ["id"]), "id")
+        seen.append([got[i].score for i in range(900)])
+        assert sum(got[i].score for i in range(800, 900)) > sum(got[i].base_score for i in range(800, 900)) * 0.95
+    assert seen[0] == pytest.approx(seen[1], rel=1e-6)
+
+
+def test_frequent_words_of_a_tie(spark):
+    df = spark.range(1000).select(F.xxhash64("id").alias("hash"), F.when(F.col("id") < 10, 5).otherwise(1).cast("long").alias("n"))
+    key, n = language_model._frequent(df, 300)
+    assert 200 < len(key) <= 330 and (n[:10] == 5).all()
 
 
 # 5 ---------------------------------------------------------------------------------------------
@@ -313,12 +357,43 @@ def test_secret_spans():
 def test_markov_separates_held_out_samples():
     model = secret_scan.Markov.fit(secret_scan.labelled_samples(1500, seed=1))
     held = [(t, y) for t, y in secret_scan.labelled_samples(400, seed=2) if len(t) >= secret_scan.MIN_TOKEN]
-    right = sum((model.score(t) >= secret_scan.MIN_RATIO) == y for t, y in held)
-    assert right / len(held) > 0.95
+    right = sum((model.score(t) >= model.least) == y for t, y in held)
+    assert right / len(held) > 0.98
+
+
+def test_markov_against_a_plain_ratio():
+    samples = [("abba", False), ("aab", False), ("b1b1", True), ("1bb1a", True), ("ab", False)]
+    model = secret_scan.Markov.fit(samples)
+    size = len(secret_scan.ALPHABET) + 2
+
+    def log(token, kind):
+        pairs = collections.Counter(p for i, (t, y) in enumerate(samples) if y == kind and i % 3 for p in zip("^" + t, t))
+        total = lambda a: sum(n for (x, _), n in pairs.items() if x == a) + 0.5 * size
+        return sum(math.log((pairs[a, b] + 0.5) / total(a)) for a, b in zip("^" + token, token))
+
+    for token in ("abab", "b1", "1"):
+        assert model.score(token) == pytest.approx(log(token, True) - log(token, False))
+
+
+def test_secret_scan_adds_spans_on_a_table(spark):
+    r = random.Random(9)
+    key = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=24))
+    loose = "".join(r.choices("bcdfghjklmnpqrstvwxz", k=24))
+    rows = [(i, prose(40, r) + " internal_server_error_handler") for i in range(60)]
+    rows += [(60, f"see {key} here"), (61, f"é {loose}"), (62, f"token={key}"), (63, None), (64, ""), (64, f"password: {key} AKIA{'Q' * 16} {'ab01' * 8}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("secrets", F.lit(1)).withColumn("Spans", F.lit(2))
+    model = secret_scan.Markov.fit(secret_scan.labelled_samples() + secret_scan.ordinary_tokens(df.where("doc_id < 60")))
+    out = secret_scan.with_spans(df, model=model)
+    assert out.columns == ["doc_id", "text", "Spans", "secrets"]
+    got = {(x.doc_id, x.text): [(s.kind, x.text[s.start : s.stop]) for s in x.secrets] for x in out.collect()}
+    assert all(not got[row] for row in rows[:60])
+    assert got[rows[60]] == [("markov", key)] and got[rows[61]] == [("markov", loose)] and got[rows[62]] == [("assign", f"token={key}")]
+    assert got[rows[63]] == got[rows[64]] == [] and [k for k, _ in got[rows[65]]] == ["assign", "access", "hex"]
 
 
 def test_secret_query_columns(docs, empty):
     assert secret_scan.with_spans(docs).count() == len(TEXTS) and secret_scan.with_spans(empty).count() == 0
+    assert secret_scan.ordinary_tokens(empty) == []
 
 
 # 6 ---------------------------------------------------------------------------------------------
@@ -478,6 +553,56 @@ def test_toxicity(spark, docs):
     assert toxicity.scored(docs, none).agg(F.max("score")).first()[0] == 0.0
 
 
+def plain_evidence(texts, labels, word, before):
+    """The class models of Kneser-Ney counts, written out."""
+    find = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    pairs = collections.Counter()
+    for t, y in zip(texts, labels):
+        w = find.findall(lower(t))
+        pairs.update({(a, b, y) for a, b in zip([None, *w], w)})
+    follows = collections.Counter((b, y) for _, b, y in pairs)
+    d, s = toxicity.DISCOUNT, toxicity.SHARED
+    odds = lambda p: math.log(p / (1 - p))
+    ratio = lambda t, o, p: math.log((max(t - d, 0) + s * p) / (max(o - d, 0) + s * (1 - p)))
+    toxic = sum(n for (_, y), n in follows.items() if y)
+    size = (toxic + 0.5) / (sum(follows.values()) + 1)
+    single = ratio(follows[word, 1], follows[word, 0], size) - odds(size)
+    if not pairs[before, word, 0] + pairs[before, word, 1]:
+        return single if follows[word, 0] + follows[word, 1] else 0.0
+    after = [sum(n for (a, _, y), n in pairs.items() if a == before and y == c) for c in (0, 1)]
+    part = (after[1] + s * size) / (sum(after) + s)
+    likely = 1 / (1 + math.exp(-(odds(part) + single)))
+    return ratio(pairs[before, word, 1], pairs[before, word, 0], likely) - odds(part)
+
+
+def test_kneser_ney_against_a_plain_form(spark):
+    r = random.Random(6)
+    texts = [prose(30, r) for _ in range(24)]
+    labels = [i % 3 == 0 for i in range(24)]
+    rows = spark.createDataFrame([(i, int(y), i % 3, t) for i, (t, y) in enumerate(zip(texts, labels))], "h long, y int, fold int, text string")
+    made = rows.mapInArrow(toxicity._labelled_pairs, "value long, before long, fold int, y int").groupBy("value", "before")
+    made = made.agg(F.count(F.when(F.col("y") == 0, 1)).alias("a"), F.count(F.when(F.col("y") == 1, 1)).alias("b")).toPandas()
+    value, before = (made[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("value", "before"))
+    model = toxicity.KneserNey.fit(value, before, made[["a", "b"]].to_numpy())
+    test = " ".join([*prose(40, r).split(), "unseen", *texts[0].split()[:6]])
+    block = next(toxicity.blocks(pa.array([test])))
+    w = toxicity.words(block, toxicity.NOT_ALPHANUMERIC)
+    got = model.evidence(w.hash, toxicity._pairs(w.hash, w.row))
+    own = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(test))
+    want = [plain_evidence(texts, labels, b, a) for a, b in zip([None, *own], own)]
+    assert got == pytest.approx(np.clip(want, -toxicity.CLIP, toxicity.CLIP), abs=1e-9)
+
+
+def test_toxicity_of_awkward_labels(spark):
+    rows = [(i, f"{'vile words' if i % 2 else 'kind words'} {prose(10)}") for i in range(40)] + [(3, None), (3, "kind")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    y = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (1, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.fit(df, y)
+    got = toxicity.scored(df, model)
+    assert got.columns == ["doc_id", "text", "score"] and got.count() == 42
+    assert all((x.score > 0.5) == ("vile" in (x.text or "")) for x in got.collect() if x.text and "words" in x.text)
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 PII = [
