@@ -112,13 +112,23 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         at = to
 
 
+class SliceHash:
+    """Hashes of slices of one text; where a slice lies doesn't matter."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = np.empty(len(data) + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(_CODES[data] * powers(_RATE, len(data)), out=self.sums[1:])
+        self.back = powers(_RATE_INVERSE, len(data) + 1)
+
+    def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        size = length.astype(np.uint64) if isinstance(length, np.ndarray) else np.uint64(length)
+        return mix((self.sums[start + length] - self.sums[start]) * self.back[start] + size)
+
+
 def slice_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for each pair of borders; where it lies doesn't matter."""
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_CODES[data] * powers(_RATE, len(data)), out=sums[1:])
-    back = powers(_RATE_INVERSE, len(data) + 1)
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    """Hash of data[start:end] for each pair of borders."""
+    return SliceHash(data)(start, end - start)
 
 
 def words(block: Block, separators: np.ndarray, lower: bool = True) -> Words:

@@ -154,6 +154,53 @@ def test_pieces_sample_follows_the_weights():
     assert set(seen) <= set(ways)
 
 
+def test_pieces_of_a_long_chunk(spark):
+    r = random.Random(2)
+    texts = ["漢字" * 5000 + "x", "".join(r.choice("abcdeé") for _ in range(100_000)), "short " + "".join(r.choice("abcde") for _ in range(400))]
+    p = pieces.Pieces.load(pieces.MODEL)
+    data = np.frombuffer(b" " + texts[2].encode(), np.uint8)
+    start, stop = pieces.cut(data, np.array([0, len(data)]))
+    assert (stop - start).max() == 401  # whole
+    lattices = pieces.Lattices(p)
+    end = lattices.ends(data, start[-1:], stop[-1:])[0]
+    chunk, table = data[start[-1] :].tobytes(), {}
+    for i in range(len(p.table_start) - 1):
+        if i >= 259:
+            table.setdefault(p.table[p.table_start[i] : p.table_start[i + 1]].tobytes(), i)
+    total = [1.0] + [0.0] * len(chunk)
+    for b in range(1, len(chunk) + 1):
+        total[b] = 10 * sum(total[a] / 10 * math.exp(p.weights[table[chunk[a:b]]]) * 40.0 ** (b - a) for a in range(max(0, b - 25), b) if chunk[a:b] in table)
+    node, b = end, len(chunk)
+    while lattices.degree[node]:
+        own = range(lattices.first[node], lattices.first[node] + lattices.degree[node])
+        last = 0.0
+        for e in own:
+            a = b - (p.table_start[lattices.token[e] + 1] - p.table_start[lattices.token[e]])
+            want = total[a] * math.exp(p.weights[lattices.token[e]]) * 40.0 ** (b - a) / total[b]
+            if e != own[-1]:
+                assert lattices.share[e] - last == pytest.approx(want, abs=1e-5)
+                last = lattices.share[e]
+        b = a
+        node = lattices.origin[own[-1]]
+    assert b == 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("Tokens", F.lit(1)).withColumn("__key2", F.lit(2))
+    coded = pieces.encoded(df, check="ok")
+    assert coded.columns == ["doc_id", "text", "__key2", "tokens", "ok"]
+    assert all(x.ok for x in coded.select("ok").collect()) and all(x.decoded == texts[x.doc_id] for x in pieces.decoded(coded.withColumn("decoded", F.lit(0))).collect())
+
+
+def test_pieces_do_not_depend_on_the_blocks():
+    p = pieces.Pieces.load(pieces.MODEL)
+    texts = [t.encode() for t in TEXTS if t] * 2
+    keys = np.arange(len(texts)).astype(np.uint64)
+    ends = lambda own: np.r_[0, np.cumsum([len(t) for t in own])]
+    whole, at = pieces.encode_block(np.frombuffer(b"".join(texts), np.uint8), ends(texts), keys, pieces.Lattices(p))
+    lattices = pieces.Lattices(p)
+    for i, t in enumerate(texts):
+        own, _ = pieces.encode_block(np.frombuffer(t, np.uint8), ends([t]), keys[i : i + 1], lattices)
+        assert (own == whole[at[i] : at[i + 1]]).all()
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
