@@ -11,7 +11,7 @@ from seriesmill.session import checkpointed
 def _stars(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are hung on the smallest of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))  # apart, so that the join can split a hot node
     return both.where("b > a").join(least, "a").select(F.col("low").alias("a"), "b").where("a <> b")
 
 

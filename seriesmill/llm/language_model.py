@@ -52,7 +52,7 @@ from seriesmill.session import checkpointed
 SHORT, LEAST, NAMED = 1 << 18, 24, 16
 DIM, NEAR, FAR = 16, 2, 32
 ROUNDS, SHARD = 4, 2_000_000
-STEP, NOISE, INNER, RATE = 2048, 24, 2, 0.15
+STEP, NOISE, INNER, RATE = 2048, 24, 1, 0.15
 END = np.uint64(0xE0D)
 
 
@@ -186,18 +186,21 @@ class LogBilinear:
     def context(self, ids: np.ndarray, age: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Input ids of the words before each token (the pad at a text's start), the mean of the far ones, and the context vectors."""
         n, inputs, scale = len(ids), self.parts[0][:, :DIM], self.parts[3][:, :DIM]
-        before, vector = [], np.zeros((n, DIM), np.float32)
+        pad, by_number = len(inputs) - 1, np.ascontiguousarray(inputs.T)
+        before = np.full((NEAR, n), pad, np.int32)
         for k in range(1, NEAR + 1):
-            own = np.full(n, len(inputs) - 1, np.int32)
-            own[k:] = np.where(age[k:] >= k, ids[: n - k], len(inputs) - 1)
-            before.append(own)
-            vector += inputs[own] * scale[k - 1]
-        sums = np.zeros((n + 1, DIM), np.float64)
-        np.cumsum(inputs[ids], axis=0, dtype=np.float64, out=sums[1:])
-        size = np.minimum(age, FAR)
-        mean = ((sums[:-1] - sums[np.arange(n) - size]) / np.maximum(size, 1)[:, None]).astype(np.float32)
-        vector += mean * scale[NEAR]
-        return before, mean, vector
+            before[k - 1, k:] = np.where(age[k:] >= k, ids[: n - k], pad)
+        mean, vector = np.empty((n, DIM), np.float32), np.empty((n, DIM), np.float32)
+        for a in range(0, n, 1 << 13):  # parts that fit the cache, from the first word that they look back to
+            b, low = min(n, a + (1 << 13)), max(0, a - FAR)
+            sums = np.zeros((DIM, b - low + 1), np.float64)  # by number, so that each is summed along memory
+            np.cumsum(by_number[:, ids[low:b]], axis=1, dtype=np.float64, out=sums[:, 1:])
+            size, at = np.minimum(age[a:b], FAR), np.arange(a - low, b - low)
+            mean[a:b] = ((sums[:, at] - sums[:, at - size]) / np.maximum(size, 1)).T
+            np.multiply(mean[a:b], scale[NEAR], out=vector[a:b])
+            for k in range(NEAR):
+                vector[a:b] += inputs[before[k, a:b]] * scale[k]
+        return list(before), mean, vector
 
     def log_probability(self, ids: np.ndarray, age: np.ndarray, cells: int = 1 << 18) -> np.ndarray:
         """Natural log of each id's probability given its context; the rest is one id."""
@@ -240,30 +243,32 @@ class LogBilinear:
             w, far = ids[part], mean[part]
             own = self.of_id[w]
             vectors = [inputs[b[part], :DIM] for b in before]
-            q = far * scale[NEAR, :DIM]
+            full = np.ones((len(w), DIM + 1), np.float32)  # the context vector, and 1 for the bias
+            np.multiply(far, scale[NEAR, :DIM], out=full[:, :DIM])
             for k in range(NEAR):
-                q += vectors[k] * scale[k, :DIM]
-            ones = np.ones((len(q), 1), np.float32)
-            full = np.c_[q, ones]
+                full[:, :DIM] += vectors[k] * scale[k, :DIM]
             drawn = r.choice(len(self.mass), NOISE, p=self.mass)
             out = classes[own, : DIM + 1]
-            error = (1 - _logistic((full * out).sum(1) - log_class[own]))[:, None]
+            error = (1 - _logistic(np.einsum("ij,ij->i", full, out) - log_class[own]))[:, None]
             false = -_logistic(full @ classes[drawn, : DIM + 1].T - log_class[drawn])
-            grad = error * out[:, :DIM] + false @ classes[drawn, :DIM]
+            grad = error * out[:, :DIM]
+            grad += false @ classes[drawn, :DIM]
             moves = [(1, np.r_[own, drawn], np.concatenate([error * full, false.T @ full]))]
             many = np.flatnonzero(self.sizes[own] > 1)
             if len(many):
                 target, inside = w[many], full[many]
                 noise = drawn_of[own[many], r.integers(0, slots, (INNER, len(many)))]
                 of_word, of_noise = outputs[target, : DIM + 1], outputs[noise, : DIM + 1]
-                error = (1 - _logistic((inside * of_word).sum(1) - log_inner[target]))[:, None]
-                false = -_logistic((inside * of_noise).sum(2) - log_inner[noise])[:, :, None]
+                error = (1 - _logistic(np.einsum("ij,ij->i", inside, of_word) - log_inner[target]))[:, None]
+                false = -_logistic(np.einsum("ij,kij->ki", inside, of_noise) - log_inner[noise])[:, :, None]
                 grad[many] += error * of_word[:, :DIM] + (false * of_noise[:, :, :DIM]).sum(0)
                 moves.append((2, np.r_[target, noise.ravel()], np.concatenate([error * inside, (false * inside).reshape(-1, DIM + 1)])))
-            near = [np.c_[grad * scale[k, :DIM], 0 * ones] for k in range(NEAR)]
-            moves.append((0, np.concatenate([b[part] for b in before]), np.concatenate(near)))
+            near = np.zeros((NEAR, len(w), DIM + 1), np.float32)
+            for k in range(NEAR):
+                np.multiply(grad, scale[k, :DIM], out=near[k, :, :DIM])
+            moves.append((0, np.concatenate([b[part] for b in before]), near.reshape(-1, DIM + 1)))
             places = [(grad * x).sum(0) for x in (*vectors, far)]
-            moves.append((3, np.arange(NEAR + 1), np.c_[np.array(places), np.zeros(NEAR + 1)].astype(np.float32) / len(q)))
+            moves.append((3, np.arange(NEAR + 1), np.c_[np.array(places), np.zeros(NEAR + 1)].astype(np.float32) / len(w)))
             for which, rows, grads in moves:
                 self._step(which, rows, grads)
 
