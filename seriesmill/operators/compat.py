@@ -117,7 +117,7 @@ def pairs(profiles: DataFrame) -> DataFrame:
         "context": mean("pre_mean", "pre_std", "post_mean", "post_std"),
         "frequency": (2 * one("spectral") + one("autocorr_lag1")) / 3,
         "trend": one("trend_strength"),
-        "group": F.lit(0.5),
+        "group": F.lit(0.5),  # until ``donors.group_overlap`` fills it in
     }
     return both.select("target", "source", "t_dataset", "s_dataset", *[c.alias(k) for k, c in parts.items()])
 
@@ -176,3 +176,18 @@ def resampled(values: Column, size: int) -> Column:
         return F.get(values, low) + F.coalesce((F.get(values, low + 1) - F.get(values, low)) * (place - low), F.lit(0.0))
 
     return F.when(n == size, values).otherwise(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at))
+
+
+def embedding(segments: DataFrame, side_rows: DataFrame, points: DataFrame, grid: int = 64) -> DataFrame:
+    """series_id, event_id, x: the resampled shape, its mean, std, largest and least number, and the eight context numbers.
+
+    ``segments`` has values, ``side_rows`` the sides of each event. A side without points has the series' mean, and std 0.
+    """
+    whole = points.groupBy("series_id").agg(F.avg("v").alias("m"))
+    shape = F.col("shape")
+    mean = F.aggregate(shape, F.lit(0.0), lambda s, v: s + v) / grid
+    std = F.sqrt(F.aggregate(shape, F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean"))) / grid)
+    rows = segments.select("series_id", "event_id", F.size("values").cast("double").alias("n"), resampled(F.col("values"), grid).alias("shape"))
+    rows = rows.join(side_rows, ["series_id", "event_id"]).join(whole, "series_id").withColumn("mean", mean).withColumn("std", std)
+    side = [F.coalesce("pre_mean", "m"), F.coalesce("pre_std", F.lit(0.0)), F.coalesce("post_mean", "m"), F.coalesce("post_std", F.lit(0.0)), F.col("event_range"), F.col("pre_slope"), F.col("post_slope")]
+    return rows.select("series_id", "event_id", F.concat("shape", F.array("mean", "std", F.array_max("shape"), F.array_min("shape"), "n", *side)).alias("x"))

@@ -143,12 +143,3 @@ def trade_off(curve: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def plus_minus(mean: Column, std: Column, digits: int = 4) -> Column:
     """'mean ± std' with fixed digits, '-' for null."""
     return F.coalesce(F.concat(F.format_string(f"%.{digits}f", mean), F.lit(" ± "), F.format_string(f"%.{digits}f", std)), F.lit("-"))
-
-
-def normalized_reason(reason: Column) -> Column:
-    """Rejection reasons by their stage, from the prefix."""
-    r = F.lower(F.trim(F.coalesce(reason, F.lit(""))))
-    return (
-        F.when(r == "", "accepted").when(r.startswith("below_min_score"), "compatibility_score").when(r.startswith("below_top"), "quantile_filter")
-        .when(r.startswith("no_donor"), "no_donors").when(r.startswith("low_confidence") | r.startswith("confidence"), "confidence_filter").otherwise("other")
-    )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seriesmill.operators.events import labelled
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """A repeatable shuffle key: md5 of the seed and the keys."""
@@ -98,3 +100,14 @@ def balanced(series_rows: DataFrame, most_series: int, seed: int) -> DataFrame:
     """At most so many series a dataset, those with events first, else by hash order."""
     order = W.partitionBy("dataset").orderBy(F.desc("has_event"), hash_order(seed, "series_id"), "series_id")
     return series_rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_series)
+
+
+def donor_pool(points: DataFrame, split: DataFrame, fraction: float, seed: int, parts: tuple[str, ...] = ("train",), allow_validation: bool = False) -> DataFrame:
+    """Donor windows without leakage: events of the masked labels of training series; validation series only by an explicit permission, test series never."""
+    if "test" in parts or ("val" in parts and not allow_validation):
+        raise ValueError(f"donors of {parts} would leak held-out labels")
+    use = split.where(F.col("split").isin(*parts)).select("series_id")
+    own = points.join(use, "series_id", "left_semi")
+    masked = masked_labels(own, labelled(own), fraction, seed)
+    test = split.where("split = 'test'").select("series_id")
+    return labelled(masked).join(test, "series_id", "left_anti")

@@ -104,9 +104,18 @@ def prior(n_donors: Column, method: Column, single_source: Column) -> Column:
     return base * F.least(F.lit(1.0), 0.6 + 0.1 * n_donors) * F.when(single_source, 0.85).otherwise(1.0)
 
 
-def filtered(rows: DataFrame, policy: str, value: float = 0.5) -> DataFrame:
-    """Adds accepted and rejection_reason by no_filter, top_quantile, min_confidence or strict."""
-    parts = ("similarity", "consistency", "agreement", "amplitude", "confidence")
+#: The parts that the strict policy tests, by their names in its reasons.
+STRICT = {
+    "similarity": "donor_similarity_confidence", "consistency": "reconstruction_consistency_confidence", "agreement": "donor_agreement_confidence", "amplitude": "amplitude_compatibility_score",
+    "confidence": "aggregate_confidence",
+}
+
+
+def filtered(rows: DataFrame, policy: str, value: float = 0.5, strict: dict[str, float] | None = None) -> DataFrame:
+    """Adds accepted and rejection_reason by no_filter, top_quantile, min_confidence or strict, which has a threshold a part (``value`` where none is given).
+
+    The reason of the quantile has one name at any level, and that of the least confidence likewise.
+    """
     if policy == "no_filter":
         return rows.withColumns({"accepted": F.lit(True), "rejection_reason": F.lit("")})
     if policy == "top_quantile":
@@ -116,19 +125,29 @@ def filtered(rows: DataFrame, policy: str, value: float = 0.5) -> DataFrame:
         return out.withColumns({"accepted": kept, "rejection_reason": F.when(kept, "").otherwise("below_top_quantile_0.5")}).drop("cut")
     if policy == "min_confidence":
         kept = F.col("confidence") >= value
-        return rows.withColumns({"accepted": kept, "rejection_reason": F.when(kept, "").otherwise("low_confidence")})
-    failed = F.array_compact(F.array(*[F.when(F.col(c) < value, c) for c in parts]))
-    return rows.withColumns({"accepted": F.size(failed) == 0, "rejection_reason": F.array_join(failed, ",")})
+        return rows.withColumns({"accepted": kept, "rejection_reason": F.when(kept, "").otherwise("below_quality_threshold")})
+    if policy != "strict":
+        raise ValueError(f"no such filter policy: {policy}")
+    failed = F.array_compact(F.array(*[F.when(F.col(c) < (strict or {}).get(c, value), name) for c, name in STRICT.items()]))
+    return rows.withColumns({"accepted": F.size(failed) == 0, "rejection_reason": F.when(F.size(failed) > 0, F.concat(F.lit("strict_filter_failed:"), F.array_join(failed, ","))).otherwise("")})
+
+
+def dtw_totals(cost: np.ndarray) -> np.ndarray:
+    """Summed costs of the best way to each cell, with a border of infinity before: one step an anti-diagonal."""
+    n, m = cost.shape
+    total = np.full((n + 1, m + 1), np.inf)
+    total[0, 0] = 0
+    for d in range(n + m - 1):
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        j = d - i
+        total[i + 1, j + 1] = cost[i, j] + np.minimum(np.minimum(total[i, j + 1], total[i + 1, j]), total[i, j])
+    return total
 
 
 def dtw_path(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int]], float]:
     """Full dynamic time warping of two sequences: path and summed cost along it; ties go up, then left, then diagonal."""
     cost = np.abs(a[:, None] - b[None, :])
-    total = np.full((len(a) + 1, len(b) + 1), np.inf)
-    total[0, 0] = 0
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            total[i, j] = cost[i - 1, j - 1] + min(total[i - 1, j], total[i, j - 1], total[i - 1, j - 1])
+    total = dtw_totals(cost)
     path, (i, j) = [], (len(a), len(b))
     while i > 0 and j > 0:
         path.append((i - 1, j - 1))
@@ -186,20 +205,63 @@ def dtw_distances(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, schema)
 
 
-def learned_weights(pairs: DataFrame, components: list[str], target: str = "overlap", threshold: float = 0.2, most: int = 5000, rate: float = 0.2, heat: float = 0.15, pull: float = 0.1, epochs: int = 250) -> dict[str, float]:
-    """Softmax weights of the components that tell pairs with overlapping event groups, by gradient descent on at most ``most`` pairs in hash order."""
-    rows = pairs.orderBy(F.md5(F.concat_ws("|", "target", "source"))).limit(most).select(*components, target).toPandas()
-    x, y = rows[components].to_numpy(float), (rows[target] >= threshold).to_numpy(float)
-    start = np.full(len(components), 1 / len(components))
-    if len(x) == 0 or y.min() == y.max():
-        return dict(zip(components, start, strict=True))
-    theta = np.log(start)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+def event_groups(donors: DataFrame, groups: int, seed: int = 42, starts: int = 10):
+    """K-means over the embeddings ``x`` of donor windows: of ``starts`` seeded runs the one of least cost; at most as many groups as windows."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = donors.select(array_to_vector("x").alias("features")).cache()
+    k = min(groups, rows.count())
+    if k < 2:
+        rows.unpersist()
+        return None
+    runs = [KMeans(k=k, seed=seed + i, maxIter=20).fit(rows) for i in range(starts)]
+    rows.unpersist()
+    return min(runs, key=lambda m: m.summary.trainingCost)
+
+
+def grouped(windows: DataFrame, model) -> DataFrame:
+    """``windows`` with the group of the nearest centre; all in one group without a model."""
+    from pyspark.ml.functions import array_to_vector
+
+    if model is None:
+        return windows.withColumn("event_group", F.lit(0).cast("long"))
+    rows = model.transform(windows.withColumn("features", array_to_vector("x")))
+    return rows.withColumn("event_group", F.col("prediction").cast("long")).drop("features", "prediction")
+
+
+#: The components whose weights are learned.
+LEARNED = ("shape", "amplitude", "context", "group")
+
+
+def learned_weights(pairs: DataFrame, weights: dict[str, float], components: tuple[str, ...] = LEARNED, threshold: float = 0.2, most: int = 5000, least: int = 4, rate: float = 0.2, heat: float = 0.15, pull: float = 0.02, epochs: int = 250) -> tuple[dict[str, float], str]:
+    """Weights that tell pairs with overlapping event groups (``group`` at least ``threshold``) from others, and why they are the old ones, or ''.
+
+    ``pairs`` has the components of all ordered pairs. Classes and guards are counted over all of them; the descent takes at
+    most ``most`` pairs, in hash order, as the method has it. The softmax starts at the old weights, is pulled to them, and
+    keeps the mass that the learned components had.
+    """
+    components = tuple(c for c in components if c in weights)
+    if not components:
+        return dict(weights), "no_component_keys"
+    n = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("group") >= threshold).alias("positive")).first()
+    if not n["n"]:
+        return dict(weights), "no_training_pairs"
+    if min(n["positive"], n["n"] - n["positive"]) < least:
+        return dict(weights), "insufficient_positive_or_negative_pairs"
+    named = list(dict.fromkeys([*components, "group"]))
+    rows = pairs.orderBy(F.md5(F.concat_ws("|", "target", "source"))).limit(most).select(*named).toPandas()
+    x, y = rows[list(components)].to_numpy(float), (rows["group"] >= threshold).to_numpy(float)
+    known = [weights[c] for c in components if weights[c] > 0]
+    prior = np.array([weights[c] if weights[c] > 0 else (np.mean(known) if known else 1.0) for c in components])
+    prior /= prior.sum()
+    theta = np.log(prior)
+    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    soft = lambda t: np.exp(t - t.max()) / np.exp(t - t.max()).sum()
     for _ in range(epochs):
-        alpha = np.exp(theta - theta.max())
-        alpha /= alpha.sum()
-        p = 1 / (1 + np.exp(-(x @ alpha - 0.5) / heat))
-        g = x.T @ (weight * (p - y)) / heat / len(y) + pull * (alpha - start)
+        alpha = soft(theta)
+        p = 1 / (1 + np.exp(-np.clip((x @ alpha - 0.5) / heat, -40, 40)))
+        g = x.T @ (share * (p - y)) / heat / len(y) + pull * (alpha - prior)
         theta -= rate * alpha * (g - alpha @ g)
-    alpha = np.exp(theta - theta.max())
-    return dict(zip(components, alpha / alpha.sum(), strict=True))
+    mass = sum(max(weights[c], 0.0) for c in components) or 1.0
+    return dict(weights) | dict(zip(components, (soft(theta) * mass).tolist(), strict=True)), ""

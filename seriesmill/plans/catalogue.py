@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seriesmill.plans import q_compat, q_detect, q_evaluate, q_events, q_more, q_report, q_synth
+from seriesmill.plans import q_compat, q_detect, q_evaluate, q_events, q_more, q_report, q_select, q_synth
 
-MODULES = [q_events, q_evaluate, q_compat, q_detect, q_report, q_synth, q_more]
+MODULES = [q_events, q_evaluate, q_compat, q_detect, q_report, q_synth, q_more, q_select]
 
 
 def queries() -> dict:

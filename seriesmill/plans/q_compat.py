@@ -140,12 +140,6 @@ _donors("donors_cross", "t_dataset <> s_dataset", lambda: ~F.col("same_dataset")
 _donors("donors_compatible", "score >= 0.5", None)
 
 
-@registry(sql(TRUTH_SQL, _PROFILE, _SIDES, _SPECTRAL, _PAIRS, select=f"select {big('count(*) filter (where t_dataset = s_dataset)')} as same_in_cross, {big('count(*) filter (where score < 0.5)')} as below_score from rk where t_dataset <> s_dataset"))
-def policy_violations(spark, sf_dir):
-    cross = co.filtered(_scored(spark, sf_dir)).where(~F.col("same_dataset"))
-    return cross.agg(F.count_if(F.col("same_dataset")).alias("same_in_cross"), F.count_if(F.col("score") < 0.5).alias("below_score"))
-
-
 _GROUPS = """dist as (select series_id, len, cast(count(*) as double) / sum(count(*)) over (partition by series_id) as share from (select series_id, least(e - s, 3) as len from truth) group by 1, 2)"""
 
 
@@ -167,9 +161,9 @@ def group_overlap(spark, sf_dir):
     return rounded(both.groupBy("target", "source").agg(F.sum(F.least("p", "q")).alias("overlap")))
 
 
-@registry(f"select a.vec_id as a, b.vec_id as b, {r6('list_cosine_similarity(a.embedding::double[], b.embedding::double[])')} as cosine from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.label < 2")
+@registry(f"select a.vec_id as a, b.vec_id as b, {r6('list_cosine_similarity(a.embedding::double[], b.embedding::double[])')} as cosine from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id")
 def cosine_pairs(spark, sf_dir):
-    e = _units(spark, sf_dir)  # every label; the twin holds labels 0 and 1 only
+    e = _units(spark, sf_dir)
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("x").alias("y"))
     return rounded(e.withColumnRenamed("vec_id", "a").join(b, "label").where("a < b").select("a", "b", co.dot(F.col("x"), F.col("y")).alias("cosine")))
 

@@ -157,11 +157,12 @@ def mask_low_label(spark, sf_dir):
     return p.groupBy("series_id").agg(F.sum("y").alias("before")).join(masked, "series_id")
 
 
-@registry(sql(_SERIES, TRUTH_SQL, _split_sql("dataset"), select="select w.series_id, w.event_id, w.s, w.e from truth w where not exists (select 1 from spl where spl.series_id = w.series_id and split <> 'train')"))
+@registry(sql(_SERIES, TRUTH_SQL, _MASK, _split_sql("dataset"), select=f"select series_id, {big('row_number() over (partition by series_id order by s) - 1')} as event_id, s, e from keepers w where not exists (select 1 from spl where spl.series_id = w.series_id and split <> 'train')"))
 def donor_pool_anti(spark, sf_dir):
+    """Donors: the events that the mask left visible, of training series alone."""
     p = points(spark, sf_dir)
-    other = sp.split(sp.series(p), 42).where("split <> 'train'").select("series_id")
-    return ev.labelled(p).join(other, "series_id", "left_anti").select("series_id", "event_id", "s", "e")
+    pool = sp.donor_pool(p, sp.split(sp.series(p), 42), 0.2, 9)
+    return pool.select("series_id", "event_id", "s", "e")
 
 
 @registry(sql(TRUTH_SQL, "cnt as (select series_id, count(*) as c from truth group by 1)", select="select w.series_id, w.event_id, w.s, w.e, g.copy from truth w join cnt using (series_id), lateral (select unnest(generate_series(0, least(greatest(cast(floor((select max(c) from cnt) * 1.5) as bigint) - c, 0), 2))) as copy) g"))

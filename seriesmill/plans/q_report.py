@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seriesmill.operators import audit as au
 from seriesmill.operators import report as re
 from seriesmill.plans.twin import Registry, big, r6, rounded
 from seriesmill.session import table
@@ -188,31 +189,36 @@ def sweep_union(spark, sf_dir):
     return rounded(a.unionByName(b, allowMissingColumns=True).groupBy("policy", "fraction").agg(F.count("*").alias("n"), F.avg("event_f1").alias("f")))
 
 
-_REASON = "case event_id % 6 when 0 then '' when 1 then 'below_min_score:shape' when 2 then 'below_top_quantile_0.5' when 3 then 'no_donor_found' when 4 then 'low_confidence' else 'x' end"
-_STAGE = "case event_id % 6 when 0 then 'accepted' when 1 then 'compatibility_score' when 2 then 'quantile_filter' when 3 then 'no_donors' when 4 then 'confidence_filter' else 'other' end"
+#: Raw reasons, their stages and the names they get: a row of ``events`` takes one by its id.
+_CASES = (
+    ("", "kept", ""), ("below_min_score:shape", "compatibility", "below_compatibility_threshold"), ("below_top_quantile_0.9", "compatibility", "below_top_quantile_0.5"),
+    ("cross_dataset_not_allowed", "compatibility", "cross_dataset_disallowed"), ("skip", "synthesis", "no_compatible_donor"), ("no_donors_found", "synthesis", "synthesis_failed"),
+    ("strict_filter_failed:aggregate_confidence", "strict_filter", "strict_filter_failed:aggregate_confidence"), ("aggregate_confidence_below_0.5", "quality_filter", "below_quality_threshold"),
+    ("odd", "compatibility", "rejected_incompatible_donor"), ("odd", "evaluator", "odd"), ("filtered_by_top_k_or_quantile", "compatibility", "below_top_quantile_0.5"), ("", "compatibility", ""),
+)
+_KEYS = ("kept", "below_compatibility_threshold", "below_top_quantile_0.5", "cross_dataset_disallowed", "no_compatible_donor", "synthesis_failed", "strict_filter_failed:aggregate_confidence", "below_quality_threshold",
+         "rejected_incompatible_donor", "evaluator_invalid", "below_top_quantile_0.5", "rejected_incompatible_donor")
+
+
+def _case_sql(values) -> str:
+    return f"case event_id % {len(_CASES)} " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
 
 
 def _reasons(spark, sf_dir):
-    k = F.col("event_id") % 6
-    raw = F.when(k == 0, "").when(k == 1, "below_min_score:shape").when(k == 2, "below_top_quantile_0.5").when(k == 3, "no_donor_found").when(k == 4, "low_confidence").otherwise("x")
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("method"), raw.alias("raw"))
+    k = (F.col("event_id") % len(_CASES)).cast("int")
+    pick = lambda i: F.get(F.array(*[F.lit(c[i]) for c in _CASES]), k)
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("method"), pick(0).alias("raw"), pick(1).alias("stage"), (k == 0).alias("accepted"))
 
 
-@registry(f"select event_id, {_REASON} as raw, {_STAGE} as stage from events")
+@registry(f"select event_id, {_case_sql(c[0] for c in _CASES)} as raw, {_case_sql(c[2] for c in _CASES)} as reason from events")
 def rejection_norm(spark, sf_dir):
-    return _reasons(spark, sf_dir).select("event_id", "raw", re.normalized_reason(F.col("raw")).alias("stage"))
+    return _reasons(spark, sf_dir).select("event_id", "raw", au.normalized_reason(F.col("raw"), F.col("stage")).alias("reason"))
 
 
-@registry(f"select event_type as method, {_STAGE} as stage, {big('count(*)')} as n from events group by 1, 2")
+@registry(f"select event_type as method, {_case_sql(_KEYS)} as reason, {big('count(*)')} as n from events group by 1, 2")
 def rejection_counts(spark, sf_dir):
-    return _reasons(spark, sf_dir).groupBy("method", re.normalized_reason(F.col("raw")).alias("stage")).agg(F.count("*").alias("n"))
-
-
-@registry(f"{_M} select {big('count(*) filter (where detector is null)')} as missing_detector, {big('count(*) filter (where event_f1 < 0)')} as negative_f1, {big('(select count(*) from (select event_id from m group by 1 having count(*) > 1))')} as repeated from m")
-def audit_violations(spark, sf_dir):
-    m = _metrics(spark, sf_dir)
-    repeated = m.groupBy("event_id").count().where("count > 1").agg(F.count("*").alias("repeated"))
-    return m.agg(F.count_if(F.col("detector").isNull()).alias("missing_detector"), F.count_if(F.col("event_f1") < 0).alias("negative_f1")).crossJoin(repeated)  # one row each
+    rows = _reasons(spark, sf_dir)
+    return rows.groupBy("method", au.reason_key(F.col("accepted"), F.col("stage"), F.col("raw")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @registry(f"{_M} select policy, {big('count(*)')} as n_windows, {big('sum(false_positives)')} as n_points, {big('count(*) filter (where metrics_valid is false)')} as n_rejected from m group by 1")

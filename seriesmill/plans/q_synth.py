@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesmill.operators import compat as co
+from seriesmill.operators import donors as do
 from seriesmill.operators import events as ev
+from seriesmill.operators import partial as pa
 from seriesmill.operators import synth as sy
-from seriesmill.plans.q_compat import _PAIRS, _PROFILE, _SIDES, _SPECTRAL, _scored, _shares
+from seriesmill.plans.q_compat import _PAIRS, _PROFILE, _SIDES, _SPECTRAL, _profiles, _scored
 from seriesmill.plans.twin import TRUTH_SQL, Registry, big, rounded, sql
+from seriesmill.session import checkpointed
 from seriesmill.sources.points import points
 
 registry = Registry()
@@ -82,24 +85,28 @@ def amp_shift(spark, sf_dir):
     return rounded(rows.select("series_id", "event_id", F.posexplode(sy.shifted(F.col("by_mean"), F.col("pre_mean"))).alias("k", "x")), 8)
 
 
-@registry(sql(*_ALL, _CAL, select="select syn.series_id, syn.event_id, j as k, round((m - mm) * coalesce(nullif(pre_std, 0), 1) / greatest(sm, 1e-6) + pm, 4) as x from syn join mu using (series_id, event_id) join sd using (series_id, event_id) where pm is not null and sm > 1e-3"))
+@registry(sql(*_ALL, """rq as (select series_id, event_id, avg(m) as mm, greatest(case when quantile_cont(m, 0.75) > quantile_cont(m, 0.25) then (quantile_cont(m, 0.75) - quantile_cont(m, 0.25)) / 1.349 else stddev_pop(m) end, 1e-6) as own,
+  greatest(case when quantile_cont(v, 0.75) > quantile_cont(v, 0.25) then (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 else stddev_pop(v) end, 1e-6) as tgt from syn group by 1, 2)""",
+    select="select syn.series_id, syn.event_id, j as k, round((m - mm) * case when pre_std > 0 then pre_std else tgt end / own + pre_mean, 4) as x from syn join rq using (series_id, event_id) join sd using (series_id, event_id) where pre_mean is not null"))
 def amp_robust(spark, sf_dir):
-    rows = _with_context(spark, sf_dir).where(sy.std_of(F.col("by_mean")) > 1e-3)
-    scale = F.when(F.col("pre_std") == 0, 1.0).otherwise(F.col("pre_std"))
-    return rounded(rows.select("series_id", "event_id", F.posexplode(sy.robust_shifted(F.col("by_mean"), F.col("pre_mean"), scale)).alias("k", "x")), 4)
+    moved = pa.calibrated(F.col("by_mean"), F.col("values"), F.col("pre_mean"), F.col("pre_std"), "robust_scale_shift")
+    return rounded(_with_context(spark, sf_dir).select("series_id", "event_id", F.posexplode(moved["x"]).alias("k", "x")), 4)
 
 
-_CONF = """st as (select series_id, event_id, avg(v) as mv, stddev_pop(v) as dv, avg(m) as ms, stddev_pop(m) as ds from syn group by 1, 2),
+_CONF = """st as (select series_id, event_id, avg(v) as mv, stddev_pop(v) as dv, avg(w) as ms, stddev_pop(w) as ds from syn group by 1, 2),
 dl as (select series_id, event_id, rank, any_value(sim) as sim, list(x order by j) as x from fit group by 1, 2, 3),
 sm as (select series_id, event_id, avg((sim + 1) / 2) as similarity from dl group by 1, 2),
 ag as (select a.series_id, a.event_id, avg((list_dot_product(a.x, b.x) / greatest(sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x)), 1e-8) + 1) / 2) as agreement from dl a join dl b on a.series_id = b.series_id and a.event_id = b.event_id and a.rank < b.rank group by 1, 2),
-cf as (select series_id, event_id, greatest(0, least(1, similarity)) as similarity, 1e0 as consistency, greatest(0, least(1, coalesce(agreement, 1))) as agreement, exp(-(abs(mv - ms) + abs(dv - ds)) / greatest(dv, ds, 1e-6)) as amplitude from sm join st using (series_id, event_id) left join ag using (series_id, event_id)),
+ln as (select series_id, event_id, count(*) as n, list(m order by j) as lm, list(w order by j) as lw from syn group by 1, 2),
+gd as (select *, least(cast(floor(pos) as bigint), greatest(n - 2, 0)) as lo from (select *, g * (n - 1) / 7e0 as pos from ln, lateral (select unnest(range(8)) as g))),
+cy as (select series_id, event_id, exp(-avg(pow(lm[lo + 1] + coalesce((lm[lo + 2] - lm[lo + 1]) * (pos - lo), 0) - lw[lo + 1] - coalesce((lw[lo + 2] - lw[lo + 1]) * (pos - lo), 0), 2))) as consistency from gd group by 1, 2),
+cf as (select series_id, event_id, greatest(0, least(1, similarity)) as similarity, consistency, greatest(0, least(1, coalesce(agreement, 1))) as agreement, exp(-(abs(mv - ms) + abs(dv - ds)) / greatest(dv, ds, 1e-6)) as amplitude from sm join st using (series_id, event_id) join cy using (series_id, event_id) left join ag using (series_id, event_id)),
 cn as (select *, (similarity + consistency + agreement + amplitude) / 4 as confidence from cf)"""
 
 
-@registry(sql(*_ALL, _CONF, select="select series_id, event_id, round(similarity, 5) as similarity, round(agreement, 5) as agreement, round(amplitude, 5) as amplitude, round(confidence, 5) as confidence from cn"))
+@registry(sql(*_ALL, _CONF, select="select series_id, event_id, round(similarity, 5) as similarity, round(consistency, 5) as consistency, round(agreement, 5) as agreement, round(amplitude, 5) as amplitude, round(confidence, 5) as confidence from cn"))
 def conf_components(spark, sf_dir):
-    return rounded(sy.confidence(_synthesized(spark, sf_dir)).select("series_id", "event_id", "similarity", "agreement", "amplitude", "confidence"), 5)
+    return rounded(sy.confidence(_synthesized(spark, sf_dir), "by_weight").select("series_id", "event_id", "similarity", "consistency", "agreement", "amplitude", "confidence"), 5)
 
 
 @registry(sql(*_ALL, select="select series_id, event_id, round(0.85 * least(1, 0.6 + 0.1 * count(*)) * case when count(distinct source) = 1 then 0.85 else 1 end, 6) as prior from cd where rank <= 3 group by 1, 2"))
@@ -111,7 +118,7 @@ def conf_prior(spark, sf_dir):
 
 def _filter(name: str, policy: str, value: float, oracle: str):
     def query(spark, sf_dir):
-        rows = sy.filtered(sy.confidence(_synthesized(spark, sf_dir)), policy, value)
+        rows = sy.filtered(sy.confidence(_synthesized(spark, sf_dir), "by_weight"), policy, value)
         return rows.groupBy("rejection_reason").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"))
 
     query.__name__ = name
@@ -120,8 +127,9 @@ def _filter(name: str, policy: str, value: float, oracle: str):
 
 _filter("filter_none", "no_filter", 0.0, "true then ''")
 _filter("filter_top_quantile", "top_quantile", 0.5, "round(confidence, 9) >= round((select quantile_cont(confidence, 0.5) from cn), 9) then '' else 'below_top_quantile_0.5'")
-_filter("filter_min_conf", "min_confidence", 0.8, "confidence >= 0.8 then '' else 'low_confidence'")
-_filter("filter_strict", "strict", 0.5, "true then concat_ws(',', case when similarity < 0.5 then 'similarity' end, case when agreement < 0.5 then 'agreement' end, case when amplitude < 0.5 then 'amplitude' end, case when confidence < 0.5 then 'confidence' end)")
+_filter("filter_min_conf", "min_confidence", 0.8, "confidence >= 0.8 then '' else 'below_quality_threshold'")
+_STRICT_SQL = "concat_ws(',', case when similarity < 0.9 then 'donor_similarity_confidence' end, case when consistency < 0.9 then 'reconstruction_consistency_confidence' end, case when agreement < 0.9 then 'donor_agreement_confidence' end, case when amplitude < 0.9 then 'amplitude_compatibility_score' end, case when confidence < 0.9 then 'aggregate_confidence' end)"
+_filter("filter_strict", "strict", 0.9, f"{_STRICT_SQL} = '' then '' else 'strict_filter_failed:' || {_STRICT_SQL}")
 
 
 @registry()
@@ -140,22 +148,26 @@ def dtw_distance(spark, sf_dir):
     return rounded(sy.dtw_distances(c))
 
 
+def _embedded(spark, sf_dir):
+    p = points(spark, sf_dir)
+    truth = ev.labelled(p)
+    return co.embedding(ev.segments(p, truth), co.sides(p, truth), p)
+
+
 @registry()
 def event_groups(spark, sf_dir):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    p = points(spark, sf_dir)
-    rows = ev.segments(p, ev.labelled(p)).select("series_id", "event_id", array_to_vector(co.resampled(F.col("values"), 32)).alias("features"))
-    model = KMeans(k=4, seed=42, maxIter=20).fit(rows)
-    return model.transform(rows).select("series_id", "event_id", F.col("prediction").cast("long").alias("event_group"))
+    """Donor windows in four groups by their embeddings; targets at the nearest centre."""
+    rows = _embedded(spark, sf_dir)
+    donor = F.pmod(F.crc32("series_id"), F.lit(5)) != 0
+    model = sy.event_groups(rows.where(donor), 4)
+    return sy.grouped(rows, model).select("series_id", "event_id", "event_group")
 
 
 @registry()
 def learned_weights(spark, sf_dir):
-    d = _shares(spark, sf_dir)
-    a, b = d.select(F.col("series_id").alias("target"), "len", F.col("share").alias("p")), d.select(F.col("series_id").alias("source"), "len", F.col("share").alias("q"))
-    overlap = a.join(b, "len").groupBy("target", "source").agg(F.sum(F.least("p", "q")).alias("overlap"))
-    rows = _scored(spark, sf_dir).join(overlap, ["target", "source"])
-    weights = sy.learned_weights(rows, ["shape", "amplitude", "duration", "context", "frequency", "trend"], threshold=0.9)
-    return spark.createDataFrame([(k, round(float(v), 9)) for k, v in weights.items()], "component string, weight double")
+    """Weights learned on all ordered pairs of series whose events have groups."""
+    shares = do.group_shares(sy.grouped(_embedded(spark, sf_dir), sy.event_groups(_embedded(spark, sf_dir), 4)))
+    some = shares.select("series_id").distinct()
+    pairs = co.pairs(_profiles(spark, sf_dir).join(some, "series_id", "left_semi"))
+    weights, reason = sy.learned_weights(checkpointed(do.group_overlap(pairs, shares)), dict(co.WEIGHTS))
+    return spark.createDataFrame([(k, round(float(v), 9), reason) for k, v in weights.items()], "component string, weight double, reason string")
