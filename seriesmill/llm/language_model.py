@@ -49,7 +49,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from seriesmill.llm.text import SPACE, Block, blocks, column, mix, release, words
 from seriesmill.session import checkpointed
 
-SHORT, LEAST, NAMED = 1 << 18, 24, 16
+SHORT, LEAST, NAMED = 1 << 18, 24, 12
 DIM, NEAR, FAR = 16, 2, 32
 ROUNDS, SHARD = 4, 2_000_000
 STEP, NOISE, INNER, RATE = 2048, 24, 1, 0.15
@@ -204,19 +204,22 @@ class LogBilinear:
 
     def log_probability(self, ids: np.ndarray, age: np.ndarray, cells: int = 1 << 18) -> np.ndarray:
         """Natural log of each id's probability given its context; the rest is one id."""
-        vector = self.context(ids, age)[2]
+        full = np.ones((len(ids), DIM + 1), np.float32)  # the context vector, and 1 for the bias
+        full[:, :DIM] = self.context(ids, age)[2]
+        longest = float(np.sqrt(np.einsum("ij,ij->i", full, full).max(initial=0)))
         own, out = self.of_id[ids], np.empty(len(ids), np.float64)
 
         def softmax(outputs: np.ndarray, at: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            weights, bias = np.ascontiguousarray(outputs[:, :DIM].T), outputs[:, DIM]
+            weights, one = np.ascontiguousarray(outputs[:, : DIM + 1].T), np.ones(len(outputs), np.float32)
+            large = longest * float(np.sqrt((weights * weights).sum(axis=0).max())) > 60  # else no exponential runs over
             step = max(1, cells // len(outputs))
             for a in range(0, len(at), step):
                 part = at[a : a + step]
-                score = vector[part] @ weights
-                score += bias
-                score -= score.max(axis=1, keepdims=True)
+                score = full[part] @ weights
+                if large:
+                    score -= score.max(axis=1, keepdims=True)
                 hit = score[np.arange(len(part)), target[a : a + step]]
-                yield part, hit - np.log(np.exp(score, out=score).sum(axis=1))
+                yield part, hit - np.log(np.exp(score, out=score) @ one)
 
         for part, value in softmax(self.parts[1], np.arange(len(ids)), own):
             out[part] = value
