@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from seriesmill.llm.text import NOT_ALPHANUMERIC, blocks, column, mix, words
+from seriesmill.llm.text import NOT_ALPHANUMERIC, blocks, column, mix, release, words
 from seriesmill.session import checkpointed
 
-PER_CLASS = 3000
+PER_CLASS = 2000
 DISCOUNT, SHARED, CLIP, PEAK = 0.75, 2.0, 6.0, 2
 FOLDS = 3
 THRESHOLD = 0.7
@@ -145,6 +145,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
+def _classes(both: np.ndarray) -> np.ndarray:
+    """Texts of the ordinary and of the toxic class."""
+    return np.stack([both & 0xFFFF, both >> 16], axis=1)
+
+
 def _labelled_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled texts to their distinct pairs: word, word before it, fold and class."""
     for batch in batches:
@@ -156,17 +161,14 @@ def _labelled_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.hash[one].view(np.int64), before[one].view(np.int64), fold[row[one]], y[row[one]])], names=["value", "before", "fold", "y"])
 
 
-def _fold_features(sent):
+def _features_of(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
         for batch in batches:
-            fold = np.asarray(column(batch, "fold"))
             for block in blocks(column(batch, "text")):
-                w, own = words(block, NOT_ALPHANUMERIC), fold[block.first : block.first + block.rows]
-                x, before = np.zeros((block.rows, 2)), _pairs(w.hash, w.row)
-                for k in np.unique(own).tolist():
-                    x[own == k] = features(models[k].evidence(w.hash, before), w.row, block.rows)[own == k]
+                w = words(block, NOT_ALPHANUMERIC)
+                x = features(sent.value.evidence(w.hash, _pairs(w.hash, w.row)), w.row, block.rows)
                 yield pa.RecordBatch.from_arrays([column(batch, c).slice(block.first, block.rows) for c in ("h", "y")] + [pa.array(c) for c in x.T], names=["h", "y", "mean", "peak"])
+        release()
 
     return run
 
@@ -179,24 +181,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     fold = F.pmod(F.col("h"), F.lit(FOLDS)).cast("int").alias("fold")
     rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(ids), key).groupBy(key, "h").agg(F.max("y").alias("y"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
     rows = checkpointed(rows.select("h", "y", fold, "text"))
-    parts = [F.count(F.when((F.col("fold") == k) & (F.col("y") == c), 1)).cast("int") for k in range(FOLDS) for c in (0, 1)]
+    both = F.col("y") * 65536 + 1 - F.col("y")  # texts of both classes in one number: per_class is below 65536
+    parts = [F.sum(F.when(F.col("fold") == k, both).otherwise(0)).cast("int").alias(f"n{k}") for k in range(FOLDS)]
     pairs = rows.mapInArrow(_labelled_pairs, "value long, before long, fold int, y int").groupBy("value", "before")
-    table = pairs.agg(F.array(*parts).alias("n")).toArrow().sort_by([("value", "ascending"), ("before", "ascending")])
+    table = pairs.agg(*parts).toArrow()
     if not table.num_rows or rows.agg(F.count_distinct("y")).first()[0] < 2:
         return Model(None, np.zeros(3))
     value, before = (table.column(c).to_numpy().view(np.uint64) for c in ("value", "before"))
-    counts = table.column("n").combine_chunks().flatten().to_numpy().reshape(-1, FOLDS, 2)
-    every, models = counts.sum(axis=1), []
-    for k in range(FOLDS):
-        others = every - counts[:, k]
-        seen = others.sum(axis=1) > 0
-        models.append(KneserNey.fit(value[seen], before[seen], others[seen]))
-    made = rows.mapInArrow(_fold_features(docs.sparkSession.sparkContext.broadcast(models)), "h long, y int, mean double, peak double").toArrow().sort_by("h")
+    counts = [table.column(f"n{k}").to_numpy() for k in range(FOLDS)]
+    every, made = sum(counts), []
+    for k in range(FOLDS):  # one model at a time
+        others = every - counts[k]
+        seen = others > 0
+        sent = docs.sparkSession.sparkContext.broadcast(KneserNey.fit(value[seen], before[seen], _classes(others[seen])))
+        made.append(rows.where(F.col("fold") == k).mapInArrow(_features_of(sent), "h long, y int, mean double, peak double").toArrow())
+        sent.destroy()
+        release()
+    made = pa.concat_tables(made).sort_by("h")
     y = made.column("y").to_numpy().astype(float)
     w = logistic(np.c_[made.column("mean").to_numpy(), made.column("peak").to_numpy()], y)
     if 0 < share < 1:  # from the sample's share of toxic texts to that of all labels
         w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    return Model(KneserNey.fit(value, before, every), w)
+    tables = KneserNey.fit(value, before, _classes(every))
+    del table, value, before, counts, every
+    release()
+    return Model(tables, w)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
