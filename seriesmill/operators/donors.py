@@ -174,19 +174,25 @@ def retrieved(meetings: DataFrame, keys: tuple[str, ...], k: int = 5, per_source
 
     ``per_source`` and ``per_group`` are the most donors of one series and of one group. With ``spread``, the next best
     of the only series chosen so far is passed over once. The choice depends on what was chosen before, so it is a fold
-    over a target's donors; of these, only as many come into a row as the caps can pass over: a series gives its
-    per_source + 1 best, a group twice its cap and two, a target what k choices can skip.
+    over a target's donors; of these, only as many of a series, of a group and in all come into a row as k choices, and
+    the series and groups that these fill, can pass over.
     """
     by = lambda *more: W.partitionBy(*keys, *more).orderBy(F.desc("sim"), "source", "donor_id")
     rows = meetings.select(*keys, "source", "donor_id", "event_group", "sim")
+    first = lambda rows, most, *more: rows.withColumn("place", F.row_number().over(by(*more))).where(F.col("place") <= most)
+    of_source = of_group = 0
     if per_source is not None:
-        rows = rows.withColumn("place", F.row_number().over(by("source"))).where(F.col("place") <= per_source + 1)
-    if per_group is not None and per_source is not None:
-        rows = rows.withColumn("place", F.row_number().over(by("event_group"))).where(F.col("place") <= (per_group + 1) * (per_source + 1) + 1)
-    elif per_group is not None:
-        rows = rows.withColumn("place", F.row_number().over(by("event_group"))).where(F.col("place") <= per_group + 1)
-    skips = (2 if per_source is not None else 0) + ((per_group + 1) * ((per_source or 0) + 1) + 1 if per_group is not None else 0) + 1
-    rows = rows.withColumn("place", F.row_number().over(by())).where(F.col("place") <= k * (skips + 1) + 1)
+        of_source = per_source + 1
+    if per_group is not None:
+        of_group = per_group + 2
+    if per_source is not None and per_group is not None:  # rows of a series in full groups, and of a group in full series, are passed over
+        rows = first(rows, per_source + 1, "source", "event_group")
+        of_source, of_group = of_source + k * (per_source + 1), of_group + k * (per_source + 1)
+    if of_source:
+        rows = first(rows, of_source, "source")
+    if of_group:
+        rows = first(rows, of_group, "event_group")
+    rows = first(rows, k * (1 + of_source + of_group) + 2)
     offer = F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "source", "donor_id", "event_group")))
     lists = rows.groupBy(*keys).agg(offer.alias("offer"))
     none = F.struct(F.filter("offer", lambda d: F.lit(False)).alias("chosen"), F.lit(False).alias("skipped"))
