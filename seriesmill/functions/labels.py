@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Label words that count as anomalous and as normal.
-POSITIVE = ("anomaly", "anomalous", "abnormal", "outlier", "true", "yes", "1", "positive", "fault", "attack")
-NEGATIVE = ("normal", "nominal", "inlier", "false", "no", "0", "negative", "benign")
+POSITIVE = ("1", "true", "yes", "y", "anomaly", "anomalous", "abnormal", "positive", "pos", "outlier")
+NEGATIVE = ("0", "false", "no", "n", "normal", "negative", "neg", "nominal")
 
 
 def normalized(label: Column, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> Column:
