@@ -97,8 +97,8 @@ def score_column(fit_rows: DataFrame, columns: list[str], kind: str, seed: int =
     n = fit_rows.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     weight = F.when(F.col("y") == 1, n["n"] / (2.0 * max(n["p"], 1))).otherwise(n["n"] / (2.0 * max(n["n"] - n["p"], 1)))
     model = {
-        "forest": RandomForestClassifier(labelCol="y", featuresCol="x", weightCol="w", numTrees=20, maxDepth=6, seed=seed),
-        "logistic": LogisticRegression(labelCol="y", featuresCol="x", weightCol="w", maxIter=50),
+        "forest": RandomForestClassifier(labelCol="y", featuresCol="x", weightCol="w", numTrees=200, maxDepth=12, seed=seed),
+        "logistic": LogisticRegression(labelCol="y", featuresCol="x", weightCol="w", maxIter=1000),
     }[kind]
     fitted = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x"), model]).fit(fit_rows.withColumn("w", weight))
 
