@@ -127,10 +127,14 @@ def validity(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return rows.select(*keys, (reason == "").alias("metrics_valid"), reason.alias("metrics_invalid_reason"))
 
 
-def mask_interval(n: Column, fraction: float, policy: str) -> tuple[Column, Column]:
-    """Half-open masked interval of an event of n points: prefix, suffix or middle."""
+def mask_interval(n: Column, fraction: float, policy: str, key: Column | None = None) -> tuple[Column, Column]:
+    """Half-open masked interval of an event of n points: prefix, suffix, middle, or random, whose start is a hash of ``key``. What follows an underscore is no part of a policy's name."""
     size = F.least(F.greatest(F.bround(n * fraction).cast("long"), F.lit(1).cast("long")), n - 1)
-    start = {"prefix": F.lit(0).cast("long"), "suffix": n - size, "middle": F.floor((n - size) / 2)}[policy]
+    name = policy.split("_")[0] or "middle"
+    if name == "random":
+        start = F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 12), 16, 10).cast("long"), n - size + 1)
+    else:
+        start = {"prefix": F.lit(0).cast("long"), "suffix": n - size, "middle": F.floor((n - size) / 2)}[name]
     return start, start + size
 
 
@@ -143,18 +147,57 @@ def linear_fill(values: Column, start: Column, stop: Column) -> Column:
 
 
 def reconstruction(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """MAE, MSE, normalised MAE and border error of masked events; columns values, filled, start, stop."""
+    """MAE, MSE, normalised MAE, shape correlation and border error of masked events; columns values, filled, start, stop.
+
+    The correlation of one point, or of a constant, is 1 if both are close, else 0.
+    """
     n = F.size("values")
     cut = lambda c: F.slice(c, F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    gap = F.zip_with(cut("values"), cut("filled"), lambda a, b: F.abs(a - b))
-    std = F.sqrt(F.greatest(mean(F.transform("values", lambda x: x * x)) - mean(F.col("values")) * mean(F.col("values")), F.lit(0.0)))
+    spread = lambda a: F.sqrt(F.greatest(mean(F.transform(a, lambda x: x * x)) - mean(a) * mean(a), F.lit(0.0)))
     border = lambda i: F.abs((F.get("filled", i) - F.get("filled", i - 1)) - (F.get("values", i) - F.get("values", i - 1)))
     at = [F.col("start").cast("int"), F.col("stop").cast("int")]
     inner = [F.when((i > 0) & (i < n), border(i)) for i in at]
     count = sum(F.when(x.isNotNull(), 1).otherwise(0) for x in inner)
-    out = rows.withColumn("gap", gap)
+    out = rows.withColumns({"a": cut("values"), "b": cut("filled")}).withColumn("gap", F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
+    out = out.withColumns({"ma": mean(F.col("a")), "mb": mean(F.col("b"))})
+    out = out.withColumns({"da": F.transform("a", lambda x: x - F.col("ma")), "db": F.transform("b", lambda x: x - F.col("mb"))})
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    close = F.forall(F.zip_with("a", "b", lambda x, y: F.abs(x - y) <= 1e-8 + 1e-5 * F.abs(y)), lambda c: c)
+    flat = (F.size("a") < 2) | (F.sqrt(mean(F.transform("da", lambda x: x * x))) <= 1e-12) | (F.sqrt(mean(F.transform("db", lambda x: x * x))) <= 1e-12)
+    correlation = F.when(flat, F.when(close, 1.0).otherwise(0.0)).otherwise(dot("da", "db") / F.sqrt(dot("da", "da") * dot("db", "db")))
     return out.select(
-        *keys, mean(F.col("gap")).alias("mae"), mean(F.transform("gap", lambda x: x * x)).alias("mse"), (mean(F.col("gap")) / F.greatest(std, F.lit(1e-8))).alias("normalized_mae"),
-        F.when(count > 0, sum(F.coalesce(x, F.lit(0.0)) for x in inner) / count).otherwise(0.0).alias("boundary_error"),
+        *keys, mean(F.col("gap")).alias("mae"), mean(F.transform("gap", lambda x: x * x)).alias("mse"), (mean(F.col("gap")) / F.greatest(spread(F.col("values")), F.lit(1e-8))).alias("normalized_mae"),
+        correlation.alias("shape_correlation"), F.when(count > 0, sum(F.coalesce(x, F.lit(0.0)) for x in inner) / count).otherwise(0.0).alias("boundary_error"),
     )
+
+
+def tuned_by_event_f(points: DataFrame, truth: DataFrame, grid: DataFrame, keys: tuple[str, ...] = (), beta: float = 1.0, min_length: int = 3, merge_gap: int = 2, iou: float = 0.1, score: str = "v") -> DataFrame:
+    """keys, threshold, f, false_positives: of a grid (keys, threshold) the best event F-beta, then the fewest false positives, then the higher threshold.
+
+    Each threshold's windows are found side by side, under the series' and the threshold's number. A grid is small, and is broadcast.
+    """
+    from seriesmill.operators import events as ev
+
+    small = grid.withColumn("g", F.row_number().over(W.partitionBy(*keys).orderBy("threshold")).cast("string"))
+    join = lambda df: df.join(F.broadcast(small), list(keys)) if keys else df.crossJoin(F.broadcast(small))
+    named = lambda df: join(df).withColumn("series_id", F.concat_ws("#", "series_id", "g"))
+    preds = ev.runs(named(points), F.col(score) >= F.col("threshold"), min_length, merge_gap)
+    number = F.element_at(F.split("series_id", "#"), -1).alias("g")
+    counts = ev.matched_counts(named(truth).select("series_id", "dataset", "event_id", "s", "e").select("*", number), preds.select("*", number), (*keys, "g"), iou)
+    scored = ev.prf(counts, beta).join(small, [*keys, "g"]).withColumn("f", F.round("f", 12))
+    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("f"), "false_positives", F.desc("threshold")))
+    return scored.withColumn("k", best).where("k = 1").select(*keys, "threshold", "f", "false_positives")
+
+
+def selected_threshold(points: DataFrame, truth: DataFrame, mode: str = "point_f1", size: int = 200, quantile: float = 0.95, beta: float = 0.5, score: str = "score") -> DataFrame:
+    """One row with the validation threshold of a mode: point_f1, event_f1, event_fbeta or fixed_quantile."""
+    rows = points.withColumn("v", F.col(score))
+    if mode == "fixed_quantile":
+        return rows.agg(F.percentile("v", quantile).alias("threshold"))
+    grid = linear_grid(rows, size).select("threshold")
+    if mode == "point_f1":
+        return tuned_by_point_f1(rows, grid).select("threshold")
+    if mode not in ("event_f1", "event_fbeta"):
+        raise ValueError(f"no such threshold mode: {mode}")
+    return tuned_by_event_f(rows, truth, grid, beta=1.0 if mode == "event_f1" else beta).select("threshold")

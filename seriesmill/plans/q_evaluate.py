@@ -156,7 +156,7 @@ _RECON = f"""rc as (select series_id, event_id, policy, avg(abs(x - f)) filter (
 
 @registry(sql(TRUTH_SQL, _MASKS, _FILL, _RECON, select=f"select series_id, event_id, policy, {r6('mae')} as mae, {r6('mse')} as mse, {r6('mae / greatest(sd, 1e-8)')} as normalized_mae from rc"))
 def recon_metrics(spark, sf_dir):
-    return rounded(me.reconstruction(_filled(spark, sf_dir), ("series_id", "event_id", "policy")).drop("boundary_error"))
+    return rounded(me.reconstruction(_filled(spark, sf_dir), ("series_id", "event_id", "policy")).drop("boundary_error", "shape_correlation"))
 
 
 @registry(sql(TRUTH_SQL, _MASKS, _FILL, _RECON, select=f"select coalesce(policy, 'all') as policy, {big('count(*)')} as n, {r6('avg(mae)')} as mae, {r6('avg(mse)')} as mse from rc group by grouping sets ((policy), ())"))
@@ -172,25 +172,29 @@ gp as (select concat(p.series_id, '#', g.g) as series_id, p.dataset, p.t, p.v, g
 tx as (select concat(series_id, '#', g.g) as series_id, truth.dataset, event_id, s, e from truth join grid g using (dataset))"""
 
 
-@registry(sql(TRUTH_SQL, _TUNE, """near as (select p.series_id, p.event_id as j, t.event_id as i, cast(greatest(least(p.e, t.e) - greatest(p.s, t.s), 0) as double) / (greatest(p.e, t.e) - least(p.s, t.s)) as iou from pred p join tx t on p.series_id = t.series_id),
+_TUNE_WALK = """near as (select p.series_id, p.event_id as j, t.event_id as i, cast(greatest(least(p.e, t.e) - greatest(p.s, t.s), 0) as double) / (greatest(p.e, t.e) - least(p.s, t.s)) as iou from pred p join tx t on p.series_id = t.series_id),
 walk as (select distinct series_id, dataset, cast(-1 as bigint) as j, []::bigint[] as used from pred union all
  select w.series_id, w.dataset, w.j + 1, case when max(n.i) is null then w.used else list_append(w.used, arg_max(n.i, (n.iou, -n.i))) end from walk w join pred p on p.series_id = w.series_id and p.event_id = w.j + 1
  left join near n on n.series_id = p.series_id and n.j = p.event_id and n.iou >= 0.1 and not list_contains(w.used, n.i) group by w.series_id, w.dataset, w.j, w.used),
 mm as (select dataset, cast(split_part(series_id, '#', 2) as bigint) as g, max(len(used)) as m from walk group by series_id, dataset),
 cc as (select g.dataset, g.g, thr, (select count(*) from truth t where t.dataset = g.dataset) as nt, (select count(*) from pred p where p.dataset = g.dataset and split_part(p.series_id, '#', 2) = cast(g.g as varchar)) as np, (select coalesce(sum(m), 0) from mm where mm.dataset = g.dataset and mm.g = g.g) as nm from grid g),
-sc as (select *, round(case when nt + np > 0 then 2e0 * nm / (nt + np) else 0 end, 12) as f, np - nm as fp from cc)""", select=f"select dataset, {r6('thr')} as threshold, {r6('f')} as f, {big('fp')} as false_positives from (select *, row_number() over (partition by dataset order by f desc, fp, thr desc) as k from sc) where k = 1", recursive=True))
+sc as (select *, round(case when nt + np > 0 and nm > 0 then (1 + BETA2) * nm::double / (BETA2 * nt + np) else 0 end, 12) as f, np - nm as fp from cc)"""
+_TUNED = lambda beta2: (sql(TRUTH_SQL, _TUNE, _TUNE_WALK.replace("BETA2", beta2), select=f"select dataset, {r6('thr')} as threshold, {r6('f')} as f, {big('fp')} as false_positives from (select *, row_number() over (partition by dataset order by f desc, fp, thr desc) as k from sc) where k = 1", recursive=True))
+
+
+def _grid(p):
+    ends = p.groupBy("dataset").agg(F.percentile("v", 0.5).alias("lo"), F.percentile("v", 0.95).alias("hi"))
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("g")
+    return ends.select("dataset", "lo", "hi", places).select("dataset", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / 9.0).alias("threshold"))
+
+
+@registry(_TUNED("1"))
 def tune_event_f1(spark, sf_dir):
-    from pyspark.sql import Window as W
+    p = points(spark, sf_dir)
+    return rounded(me.tuned_by_event_f(p, ev.labelled(p), _grid(p), ("dataset",)))
 
+
+@registry(_TUNED("0.25"))
+def tune_event_fbeta(spark, sf_dir):
     p = points(spark, sf_dir)
-    ends = p.groupBy("dataset").agg(F.percentile("v", 0.5).alias("lo"), F.percentile("v", 0.95).alias("hi"))
-    grid = ends.select("dataset", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("g"), "lo", "hi").select("dataset", "g", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / 9.0).alias("thr"))
-    small = F.broadcast(grid)  # ten rows a dataset
-    named = lambda df: df.join(small, "dataset").withColumn("series_id", F.concat_ws("#", "series_id", "g"))
-    preds = ev.runs(named(p), F.col("v") >= F.col("thr"), 3, 2)
-    truth = named(ev.labelled(p)).select("series_id", "dataset", "event_id", "s", "e")
-    key = F.split_part(F.col("series_id"), F.lit("#"), F.lit(2)).cast("long").alias("g")
-    counts = ev.matched_counts(truth.select("*", key), preds.select("*", key), ("dataset", "g"))
-    scored = ev.prf(counts).join(small, ["dataset", "g"]).withColumn("f", F.round("f", 12))
-    best = F.row_number().over(W.partitionBy("dataset").orderBy(F.desc("f"), "false_positives", F.desc("thr")))
-    return rounded(scored.withColumn("k", best).where("k = 1").select("dataset", F.col("thr").alias("threshold"), "f", "false_positives"))
+    return rounded(me.tuned_by_event_f(p, ev.labelled(p), _grid(p), ("dataset",), beta=0.5))
