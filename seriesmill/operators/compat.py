@@ -96,16 +96,17 @@ def sim(a: Column, b: Column) -> Column:
     return 1 / (1 + F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(EPS)))
 
 
-def pairs(profiles: DataFrame) -> DataFrame:
-    """Ordered pairs of different series with the seven components.
+def pairs(profiles: DataFrame, source_profiles: DataFrame | None = None) -> DataFrame:
+    """Ordered pairs of different series with the seven components; targets from ``profiles``, sources from there or from the second table.
 
     The score is a similarity of two whole profiles without a key to join by, so every pair is
-    wanted, as in the reference; profiles are a row a series, and callers restrict the
-    targets before. Nothing else of this package is a product of two tables.
+    wanted; profiles are a row a series, and callers restrict targets and sources before.
+    Nothing else of this package is a product of two tables.
     """
+    source_profiles = profiles if source_profiles is None else source_profiles
     names = [c for c in profiles.columns if c not in ("series_id", "dataset")]
     t = profiles.select(F.col("series_id").alias("target"), F.col("dataset").alias("t_dataset"), *[F.col(c).alias(f"t_{c}") for c in names])
-    s = profiles.select(F.col("series_id").alias("source"), F.col("dataset").alias("s_dataset"), *[F.col(c).alias(f"s_{c}") for c in names])
+    s = source_profiles.select(F.col("series_id").alias("source"), F.col("dataset").alias("s_dataset"), *[F.col(c).alias(f"s_{c}") for c in names])
     both = t.join(s, F.col("target") != F.col("source"))
     one = lambda c: sim(F.col(f"t_{c}"), F.col(f"s_{c}"))
     mean = lambda *cs: sum(one(c) for c in cs) / len(cs)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesmill.operators.compat import cosine, resampled
+from seriesmill.operators.donors import nearest_group
 
 GRID = 8
 #: Prior weight of each synthesis method; other methods have the last.
@@ -27,15 +28,25 @@ def std_of(x: Column) -> Column:
     return F.sqrt(mean_of(F.transform(x, lambda v: (v - m) * (v - m))))
 
 
-def candidates(segments: DataFrame, sources: DataFrame, top_k: int = 3, grid: int = GRID) -> DataFrame:
+def candidates(segments: DataFrame, sources: DataFrame, top_k: int = 3, grid: int = GRID, pool: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Donor events of each target event: one a source series, the top k by cosine of the resampled shapes.
 
     ``sources`` (target, source) are the series that passed the compatibility filter, so events meet only
     within accepted series pairs. Of a source's events the best is taken first, then the best sources.
+    Donor events come from ``pool``, or from the segments themselves. With ``groups`` (series_id, event_id,
+    event_group, x), a target uses the donors of one group, that whose mean embedding is nearest to its own.
     """
-    shaped = segments.select("series_id", "event_id", "values", resampled(F.col("values"), grid).alias("shape"))
-    donor = shaped.select(F.col("series_id").alias("source"), F.col("event_id").alias("donor_id"), F.col("values").alias("donor"), F.col("shape").alias("donor_shape"))
+    shape_of = lambda rows: rows.select("series_id", "event_id", "values", resampled(F.col("values"), grid).alias("shape"))
+    shaped = shape_of(segments)
+    donor = shaped if pool is None else shape_of(pool)
+    donor = donor.select(F.col("series_id").alias("source"), F.col("event_id").alias("donor_id"), F.col("values").alias("donor"), F.col("shape").alias("donor_shape"))
+    if groups is not None:
+        donor = donor.join(groups.select(F.col("series_id").alias("source"), F.col("event_id").alias("donor_id"), "event_group", F.col("x").alias("y")), ["source", "donor_id"])
     pairs = shaped.join(sources, shaped["series_id"] == sources["target"]).join(donor, "source").withColumn("sim", F.round(cosine(F.col("shape"), F.col("donor_shape")), 9))
+    if groups is not None:
+        keys = ("series_id", "event_id")
+        near = nearest_group(pairs.join(groups.select(*keys, "x"), list(keys)).select(*keys, "x", "event_group", "y"), keys)
+        pairs = pairs.join(near.select(*keys, "event_group"), [*keys, "event_group"])
     one = F.row_number().over(W.partitionBy("series_id", "event_id", "source").orderBy(F.desc("sim"), "donor_id"))
     best = pairs.withColumn("k", one).where("k = 1")
     rank = F.row_number().over(W.partitionBy("series_id", "event_id").orderBy(F.desc("sim"), "source", "donor_id"))
