@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seriesmill.session import checkpointed
+
 #: Base weights of the components, in order; the bonus for one dataset; the least score kept.
 WEIGHTS = {"shape": 0.25, "amplitude": 0.25, "duration": 0.15, "context": 0.15, "frequency": 0.10, "trend": 0.10, "group": 0.0}
-SAME_DATASET_BONUS, MIN_SCORE, CONTEXT_POINTS = 0.05, 0.5, 5
+SAME_DATASET_BONUS, MIN_SCORE, CONTEXT_POINTS, BLOCK = 0.05, 0.5, 5, 256
 EPS = 1e-6
 
 
@@ -100,14 +104,19 @@ def pairs(profiles: DataFrame, source_profiles: DataFrame | None = None) -> Data
     """Ordered pairs of different series with the seven components; targets from ``profiles``, sources from there or from the second table.
 
     The score is a similarity of two whole profiles without a key to join by, so every pair is
-    wanted; profiles are a row a series, and callers restrict targets and sources before.
-    Nothing else of this package is a product of two tables.
+    wanted; profiles are a row a series, and callers restrict targets and sources before. Both
+    sides are dealt to blocks of about ``BLOCK`` series, and each pair of blocks is a key of the
+    join, so the work is even and a profile is sent once a block of the other side.
     """
-    source_profiles = profiles if source_profiles is None else source_profiles
+    profiles = checkpointed(profiles)
+    source_profiles = profiles if source_profiles is None else checkpointed(source_profiles)
+    blocks = [max(1, -(-p.count() // BLOCK)) for p in (profiles, source_profiles)]
     names = [c for c in profiles.columns if c not in ("series_id", "dataset")]
     t = profiles.select(F.col("series_id").alias("target"), F.col("dataset").alias("t_dataset"), *[F.col(c).alias(f"t_{c}") for c in names])
     s = source_profiles.select(F.col("series_id").alias("source"), F.col("dataset").alias("s_dataset"), *[F.col(c).alias(f"s_{c}") for c in names])
-    both = t.join(s, F.col("target") != F.col("source"))
+    t = t.withColumns({"tb": F.pmod(F.xxhash64("target"), F.lit(blocks[0])), "sb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[1] - 1).cast("long")))})
+    s = s.withColumns({"sb": F.pmod(F.xxhash64("source"), F.lit(blocks[1])), "tb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[0] - 1).cast("long")))})
+    both = t.join(s, ["tb", "sb"]).where(F.col("target") != F.col("source"))
     one = lambda c: sim(F.col(f"t_{c}"), F.col(f"s_{c}"))
     mean = lambda *cs: sum(one(c) for c in cs) / len(cs)
     timed = (F.col("t_n_events") > 0) | (F.col("s_n_events") > 0)
@@ -192,3 +201,40 @@ def embedding(segments: DataFrame, side_rows: DataFrame, points: DataFrame, grid
     rows = rows.join(side_rows, ["series_id", "event_id"]).join(whole, "series_id").withColumn("mean", mean).withColumn("std", std)
     side = [F.coalesce("pre_mean", "m"), F.coalesce("pre_std", F.lit(0.0)), F.coalesce("post_mean", "m"), F.coalesce("post_std", F.lit(0.0)), F.col("event_range"), F.col("pre_slope"), F.col("post_slope")]
     return rows.select("series_id", "event_id", F.concat("shape", F.array("mean", "std", F.array_max("shape"), F.array_min("shape"), "n", *side)).alias("x"))
+
+
+def nearest_within(vectors: DataFrame, key: str, group: str, k: int, block: int = 2048) -> DataFrame:
+    """target, source, rank, cosine: of each vector ``x`` the k nearest others of its group, ties by the smaller key.
+
+    A group is dealt to blocks by a hash; each pair of blocks is one task's matrix product, of which only the k best a
+    target leave it, so a hot group costs many even tasks and no row a pair. Nulls in group or vector meet nothing.
+    """
+    rows = checkpointed(vectors.where(F.col(group).isNotNull() & F.col("x").isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(group).cast("string").alias("g"), "x"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    placed = rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    targets = placed.withColumn("other", other).select("g", F.col("own").alias("tb"), F.col("other").alias("sb"), F.lit(0).alias("side"), "id", "x")
+    sources = placed.withColumn("other", other).select("g", F.col("other").alias("tb"), F.col("own").alias("sb"), F.lit(1).alias("side"), "id", "x")
+
+    def best(table: pa.Table) -> pa.Table:
+        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        width = len(table.column("x")[0])
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+        t, s = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        s = s[np.argsort(ids[s], kind="stable")]
+        out = []
+        for a in range(0, len(t), 256):
+            part = t[a : a + 256]
+            exact = x[part] @ x[s].T
+            score = np.round(exact, 9)
+            score[ids[part][:, None] == ids[s][None, :]] = -np.inf
+            first = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            row, column = np.nonzero(np.isfinite(np.take_along_axis(score, first, axis=1)))
+            out.append((ids[part][row], ids[s][first[row, column]], exact[row, first[row, column]]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(columns, names=["target", "source", "cosine"])
+
+    found = targets.unionByName(sources).groupBy("g", "tb", "sb").applyInArrow(best, "target long, source long, cosine double")
+    rank = F.row_number().over(W.partitionBy("target").orderBy(F.desc(F.round("cosine", 9)), "source"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

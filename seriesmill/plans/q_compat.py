@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seriesmill.operators import compat as co
 from seriesmill.operators import events as ev
 from seriesmill.plans.twin import TRUTH_SQL, Registry, big, r6, rounded, sql
-from seriesmill.session import table
+from seriesmill.session import checkpointed, table
 from seriesmill.sources.points import points
 
 registry = Registry()
@@ -53,9 +53,9 @@ rk as (select *, row_number() over (partition by target order by round(score, 12
 
 
 def _profiles(spark, sf_dir):
-    p = points(spark, sf_dir)
-    e = ev.labelled(p)
-    return co.profile(p, e).join(co.context(p, e), "series_id").join(co.spectral_share(p), "series_id")
+    p = checkpointed(points(spark, sf_dir))  # three plans read it
+    e = checkpointed(ev.labelled(p))
+    return co.profile(p, e).join(co.context(p, e), "series_id").join(co.spectral_share_long(p), "series_id")
 
 
 def _scored(spark, sf_dir):
@@ -174,11 +174,8 @@ def _units(spark, sf_dir):
 
 @registry(f"select target, source, {big('r')} as rank, round(c, 6) as cosine from (select a.vec_id as target, b.vec_id as source, c, row_number() over (partition by a.vec_id order by round(c, 9) desc, b.vec_id) as r from (select a, b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id)) where r <= 3")
 def donor_topk(spark, sf_dir):
-    e = _units(spark, sf_dir)
-    b = e.select(F.col("vec_id").alias("source"), "label", F.col("x").alias("y"))
-    c = e.withColumnRenamed("vec_id", "target").join(b, "label").where("target <> source").withColumn("cosine", co.dot(F.col("x"), F.col("y"))).drop("x", "y")
-    r = c.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy(F.desc(F.round("cosine", 9)), "source")))
-    return rounded(r.where("rank <= 3").select("target", "source", "rank", "cosine"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    return rounded(co.nearest_within(e, "vec_id", "label", 3).select("target", "source", "rank", "cosine"))
 
 
 @registry(f"""with d as (select vec_id, label, unnest(embedding)::double as x, unnest(range(64)) as i from embeddings), c as (select label as g, i, avg(x) as m from d group by 1, 2),

@@ -3,6 +3,7 @@ import math
 import random
 
 import __spark_entry__ as entry
+from seriesmill.operators import compat
 
 
 def test_cosine_pairs_has_every_label(spark, tmp_path):
@@ -12,3 +13,28 @@ def test_cosine_pairs_has_every_label(spark, tmp_path):
     got = {(x.a, x.b): x.cosine for x in entry.queries()["cosine_pairs"](spark, str(tmp_path)).collect()}
     want = {(i, j): sum(p * q for p, q in zip(x, y)) / math.hypot(*x) / math.hypot(*y) for (i, k, x), (j, m, y) in itertools.combinations(rows, 2) if k is not None and k == m}
     assert got.keys() == want.keys() and all(abs(got[p] - c) < 1e-5 for p, c in want.items())
+
+
+def test_nearest_within_against_a_plain_loop(spark):
+    r = random.Random(6)
+    rows = [(i, "hot" if i % 3 else f"g{i % 4}", [r.gauss(0, 1) for _ in range(5)]) for i in range(90)] + [(90, None, [1.0] * 5), (91, "hot", None), (92, "alone", [1.0] * 5), (93, "hot", [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, label string, x array<double>")
+    got = {}
+    for x in compat.nearest_within(df, "id", "label", 4, block=16).orderBy("target", "rank").collect():
+        got.setdefault(x.target, []).append((x.source, round(x.cosine, 9)))
+    norm = lambda v: max(math.hypot(*v), 1e-8)
+    for i, g, v in rows:
+        own = [(-round(sum(p * q for p, q in zip(v, w)) / norm(v) / norm(w), 9), j) for j, h, w in rows if g is not None and h == g and j != i and v and w] if v else []
+        assert [j for j, _ in got.get(i, [])] == [j for _, j in sorted(own)[:4]]
+
+
+def test_pairs_of_blocks_miss_none(spark, monkeypatch):
+    monkeypatch.setattr(compat, "BLOCK", 3)
+    names = "length mean std median iqr min max robust_amplitude trend_strength autocorr_lag1 anomaly_ratio n_events median_duration mean_duration pre_mean pre_std post_mean post_std spectral".split()
+    r = random.Random(2)
+    rows = [(f"s{i}", f"d{i % 2}", *[r.random() for _ in names]) for i in range(10)]
+    df = spark.createDataFrame(rows, "series_id string, dataset string, " + ", ".join(f"{n} double" for n in names))
+    got = compat.pairs(df)
+    assert sorted((x.target, x.source) for x in got.collect()) == sorted((f"s{i}", f"s{j}") for i, j in itertools.permutations(range(10), 2))
+    assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.target, x.source) for x in compat.pairs(df.limit(4), df.where("dataset = 'd1'")).select("target", "source").distinct().collect()) == sorted({(x[0], y[0]) for x in rows[:4] for y in rows if y[1] == "d1" and x[0] != y[0]})
