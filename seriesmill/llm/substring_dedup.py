@@ -1,4 +1,11 @@
-"""Substring dedup: every passage of whole words that two documents share, found by window minimisers.
+"""Substring dedup by content-defined chunking: every passage of whole words that two documents share.
+
+A chunk's border in the usual form of the method is a place where a gear hash has
+low bits of zero. Such places can be far apart or missing (in "with with with ..."),
+and what a repeated passage has before its first and after its last border is lost
+(6.5 % of passages of 51 words were missed). So borders are taken at the least gear
+hash of each window instead, which every window has; chunks vary in length, follow
+the content and resist insertions as before, and are deduplicated by digest.
 
 A window is a piece of ``least`` (``MIN_RUN``) bytes or ``MIN_WORDS`` words that
 would be too short without its first unit or without its last. Units are words;
@@ -6,16 +13,16 @@ in a word of over ``LONG_WORD`` bytes every character is one. Any repeated passa
 of that length is a union of windows another document has too, so windows alone
 are compared, in two passes over the texts:
 
-1. The shortest window at each unit names one of its grams (pieces of ``GRAM``
-   bytes or ``GRAM_WORDS`` words), the one of smallest hash, the first if equal.
-   This depends on the window's bytes alone, so equal windows name equal grams, at
-   any entropy and whatever surrounds them. Neighbouring windows that name one
-   place are a group, hashed whole.
-2. A gram that two documents have, always in equal groups, makes those repeated
-   as they are. Where groups of one gram differ, each of their windows is hashed,
+1. The shortest window at each unit has its border at one of its grams (pieces of
+   ``GRAM`` bytes or ``GRAM_WORDS`` words), the one of least gear hash, the first if
+   equal. This depends on the window's bytes alone, so equal windows have equal
+   borders, at any entropy and whatever surrounds them. Neighbouring windows with
+   one border are a chunk, hashed whole.
+2. A gram that two documents have, always in equal chunks, makes those repeated
+   as they are. Where chunks of one gram differ, each of their windows is hashed,
    and those that two documents have are repeated. The union of both in a document
    are its runs, exact to the unit. The first place (smallest doc_id, then place)
-   of a group or window is the original. Copies are what copied ones cover and no
+   of a chunk or window is the original. Copies are what copied ones cover and no
    original does; ``deduplicated`` removes them.
 
 Both passes aggregate before the shuffle, and join back by sort-merge joins that
@@ -43,38 +50,31 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from seriesmill.llm.text import SPACE, Block, blocks, column, slice_hash, words
 from seriesmill.session import checkpointed
 
-BITS, MAX_CHUNK, MIN_RUN = 5, 256, 160
+MIN_RUN = 160
 MIN_WORDS, GRAM, GRAM_WORDS, LONG_WORD = 51, 64, 20, 64
 BUCKETS = 1024
-_GEAR = np.random.default_rng(20240602).integers(0, 1 << 16, 256, dtype=np.uint16)
+_GEAR = np.random.default_rng(20240602).integers(0, 1 << 63, 256, dtype=np.uint64)
 GRAMS = "digest long, whole long, doc long"
 WINDOWS = "digest long, doc_id long, version long, start int, stop int"
 RUNS = "doc_id long, version long, runs array<struct<start:int,stop:int,copies:array<struct<start:int,stop:int>>>>"
 
 
-def borders(block: Block, bits: int = BITS, most: int = MAX_CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Content-defined chunks of a block, starts and stops: a chunk ends where the low bits of a gear hash are zero.
+def gear(data: np.ndarray) -> np.ndarray:
+    """The gear hash before each byte and at the end: every byte shifts the hash left by one and adds its number, so it sees 64 bytes."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    own = out[1:]
+    own[:] = _GEAR[data]
+    for k in range(6):  # the sum over 2 ** k bytes, and the one before it shifted by as many
+        if 1 << k < len(own):
+            own[1 << k :] += own[: -(1 << k)].copy() << np.uint64(1 << k)
+    return out
+
 
-    Rows and long stretches end chunks too. Repeats are not found by them.
-    """
-    gear = np.zeros(len(block.data), np.uint16)
-    values = _GEAR[block.data]
-    for k in range(bits):  # the low bits of sum(G[b] << age): older bytes have been shifted out
-        gear[k:] += values[: len(values) - k] << np.uint16(k)
-    inner = np.zeros(len(block.data) + 1, bool)  # within a character
-    inner[:-1] = (block.data & 0xC0) == 0x80
-    ends = np.flatnonzero((gear & np.uint16((1 << bits) - 1)) == 0) + 1
-    stops = np.union1d(ends[~inner[ends]], block.ends[1:])
-    starts = np.r_[0, stops[:-1]] if len(stops) else stops
-    long = np.flatnonzero(stops - starts > most)
-    if len(long):  # cut from the chunk's own start, so that equal stretches are cut alike
-        cuts = np.concatenate([np.arange(starts[i] + most, stops[i], most) for i in long])
-        while inner[cuts].any():
-            cuts = cuts + inner[cuts]
-        stops = np.union1d(stops, cuts)
-        starts = np.r_[0, stops[:-1]]
-    keep = stops > starts
-    return starts[keep], stops[keep]
+def gear_slice(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The gear hash of data[start:end] alone: what came before is shifted out, or taken away."""
+    size = (end - start).astype(np.uint64)
+    before = np.where(size < 64, hashes[start] << np.minimum(size, np.uint64(63)), np.uint64(0))
+    return hashes[end] - before
 
 
 def _units(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def _last(start: np.ndarray, end: np.ndarray, word: np.ndarray, least: int, most
 
 
 def _windows(block: Block, least: int) -> tuple[np.ndarray, ...]:
-    """Starts, ends and rows of units; the first, last and farthest last unit of windows, the hash of the gram each names, and where groups begin."""
+    """Starts, ends and rows of units; the first, last and farthest last unit of windows, the hash of the gram at each border, and where chunks begin."""
     start, end, word, row = _units(block)
     if not len(start):
         return start, end, row, start, start, start, np.zeros(0, np.uint64), start
@@ -112,7 +112,8 @@ def _windows(block: Block, least: int) -> tuple[np.ndarray, ...]:
     far = np.maximum(last[first], np.minimum(np.r_[last[1:], len(start)], stop)[first] - 1)  # until the next start's piece is long enough
     last = last[first]
     to = _last(start, end, word, min(GRAM, least), GRAM_WORDS)
-    grams = slice_hash(block.data, start, end[np.minimum(to, len(start) - 1)])
+    gram_end = end[np.minimum(to, len(start) - 1)]
+    grams = gear_slice(gear(block.data), start, gram_end)
     final = np.searchsorted(to, last, "right") - 1  # the last gram that ends within the window
     level = np.frexp(final - first + 1)[1] - 1
     named = np.empty(len(first), np.int64)
@@ -124,7 +125,7 @@ def _windows(block: Block, least: int) -> tuple[np.ndarray, ...]:
         if 1 << k < len(best):
             left, right = best[: -(1 << k)], best[1 << k :]
             best = np.r_[np.where(grams[right] < grams[left], right, left), best[-(1 << k) :]]
-    return start, end, row, first, last, far, grams[named], np.flatnonzero(np.diff(named, prepend=-1))
+    return start, end, row, first, last, far, slice_hash(block.data, start, gram_end)[named], np.flatnonzero(np.diff(named, prepend=-1))
 
 
 def _closing(group: np.ndarray, n: int) -> np.ndarray:
