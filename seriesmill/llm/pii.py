@@ -15,7 +15,7 @@ look-behind stops it; ``\\G`` keeps the start right after the last match.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different
 kinds are all reported; rows that repeat a doc_id are searched one by one; extra
-columns are ignored; ``redacted`` keeps a null text null.
+columns are kept, but for one with the name of the spans; ``redacted`` keeps a null text null.
 """
 
 from __future__ import annotations
@@ -106,10 +106,10 @@ def _spans(text: Column, kind: str) -> Column:
 
 
 def with_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """``docs`` with the column ``out``: a struct with an array of spans for each kind."""
+    """``docs`` with the column ``out`` at the end: a struct with an array of spans for each kind; a column of that name is replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
     found = F.struct(*[_spans(body, kind).alias(kind) for kind in KINDS])
-    return docs.select("*", F.inline(F.array(F.struct(found.alias(out)))))
+    return docs.select(*[c for c in docs.columns if c.lower() != out.lower()], F.inline(F.array(F.struct(found.alias(out)))))
 
 
 def listed(spans: Column) -> Column:

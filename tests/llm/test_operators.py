@@ -528,15 +528,30 @@ def test_every_repeated_passage_is_found(spark):
     assert {i: [(s.start, s.stop) for s in x.runs] for i, x in got.items() if i < 240} == plain_repeats(texts[:240])
 
 
+def test_gear_hash_against_its_definition():
+    r = np.random.default_rng(4)
+    data = r.integers(0, 256, 300).astype(np.uint8)
+    hashes = substring_dedup.gear(data)
+    for a, b in [(0, 0), (0, 5), (3, 66), (3, 67), (10, 300), (299, 300)]:
+        h = 0
+        for x in data[a:b].tolist():
+            h = ((h << 1) + int(substring_dedup._GEAR[x])) % 2**64
+        assert int(substring_dedup.gear_slice(hashes, np.array([a]), np.array([b]))[0]) == h
+    assert len(substring_dedup.gear(data[:0])) == 1
+
+
 def test_chunks_resist_insertions():
     from seriesmill.llm.text import blocks
-    import pyarrow as pa
 
-    text = prose(400)
-    a, b = (next(blocks(pa.array([t]))) for t in (text, "inserted " + text))
-    cuts = lambda x: {x.data[s:e].tobytes() for s, e in zip(*substring_dedup.borders(x), strict=True)}
-    assert len(cuts(a) - cuts(b)) <= 2
-    assert b"".join(a.data[s:e].tobytes() for s, e in zip(*substring_dedup.borders(a), strict=True)) == text.encode()
+    def chunks(text):
+        block = next(blocks(pa.array([text])))
+        start, end, _, first, _, far, _, group = substring_dedup._windows(block, substring_dedup.MIN_RUN)
+        closing = substring_dedup._closing(group, len(first))
+        return [block.data[start[first[g]] : end[far[c]]].tobytes() for g, c in zip(group, closing, strict=True)]
+
+    text = prose(600)
+    a, b = chunks(text), chunks("inserted " + text)
+    assert len(a) > 10 and len({len(c) for c in a}) > 5 and len(set(a) - set(b)) <= 2
 
 
 # 8 ---------------------------------------------------------------------------------------------
@@ -567,8 +582,10 @@ def test_salvage():
         ids = [r.headers["WARC-Record-ID"] for r in records]
         assert ids[0] == "<urn:page:0>" and ids[-3:] == [f"<urn:page:{i}>" for i in (2, 3, 4)] and len(gaps) == 1
         assert gaps[0][0] == at
-    records, gaps = warc.salvage(whole[:-5])
-    assert len(records) == 4 and gaps[0][1] == len(whole) - 5
+    records, gaps = warc.salvage(whole[:-5])  # the last record is whole, its member is not
+    assert len(records) == 5 and gaps == [(len(whole) - len(members[4]), len(whole) - 5, "member is cut off")]
+    records, gaps = warc.salvage(whole[: -len(members[4]) // 2])
+    assert len(records) == 4 and gaps[0][1] == len(whole[: -len(members[4]) // 2])
     plain = b"".join(zlib.decompress(m, 31) for m in members)
     assert len(warc.salvage(plain)[0]) == 5
     records, gaps = warc.salvage(plain[:2] + b"?" + plain[3:])
@@ -576,6 +593,40 @@ def test_salvage():
     assert warc.salvage(b"") == ([], [])
 
 
+def test_salvage_inside_a_member():
+    import gzip
+
+    plain = [zlib.decompress(warc.pack({"X-Page-ID": str(i), "WARC-Block-Digest": "sha1:" + hashlib.sha1(b"%d" % i * 400).hexdigest()}, b"%d" % i * 400), 31) for i in range(6)]
+    ids = lambda records: [r.headers["X-Page-ID"] for r in records]
+    whole = gzip.compress(b"".join(plain))
+    assert ids(warc.salvage(whole)[0]) == list("012345") and warc.salvage(whole)[1] == []
+    bad = b"".join(plain[:2]) + plain[2].replace(b"222", b"2x2", 1) + b"".join(plain[3:])
+    records, gaps = warc.salvage(gzip.compress(bad) + gzip.compress(plain[0]))
+    assert ids(records) == list("013450") and len(gaps) == 1 and gaps[0][2] == "payload digest differs"
+    r = random.Random(3)
+    noise = [zlib.decompress(warc.pack({"X-Page-ID": str(i)}, bytes(r.randrange(256) for _ in range(30_000))), 31) for i in range(6)]
+    packed = bytearray(gzip.compress(b"".join(noise), 1))
+    packed[len(packed) // 2 : len(packed) // 2 + 40] = b"\xff" * 40
+    records, gaps = warc.salvage(bytes(packed) + gzip.compress(plain[5]))
+    assert ids(records)[-1] == "5" and gaps and set(ids(records)) <= set("012345")
+
+
+def test_warc_awkward_pages(spark, tmp_path):
+    big = "x" * 1500
+    pages = [(None, big, "a"), (4, big, "b"), (9, big, "c"), (9, big, "d"), (9, "other" * 400, "e"), (5, "", "f")]
+    df = spark.createDataFrame(pages, "page_id long, html string, digest string").withColumn("payload", F.lit(3))
+    archives = warc.write(df)
+    got = sorted((r.page_id is not None, r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.read(archives).collect())
+    assert got == [(False, 0, 1500, "revisit", 9), (True, 4, 1500, "revisit", 9), (True, 5, 0, "response", 0), (True, 9, 1500, "response", 0), (True, 9, 1500, "response", 0), (True, 9, 2000, "response", 0)]
+    for row in archives.collect():
+        (tmp_path / row["name"]).write_bytes(row["content"])
+    from_files = warc.read(warc.files(spark, str(tmp_path)))
+    assert from_files.count() == 6 and from_files.where("gap_start is not null").count() == 0
+    records = [r for row in archives.collect() for r in warc.salvage(row["content"])[0]]
+    named = {r.headers["WARC-Record-ID"] for r in records}
+    assert all("WARC-Date" in r.headers and (r.headers["WARC-Type"] == "response" or r.headers["WARC-Profile"] == warc.SAME_DIGEST and r.headers["WARC-Refers-To"] in named) for r in records)
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 
