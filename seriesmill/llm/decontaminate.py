@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmill.llm.text import NOT_ALPHANUMERIC, blocks, column, mix, words
+from seriesmill.llm.text import NOT_ALPHANUMERIC, blocks, column, mix, release, words
 
 WINDOW = 13
 #: Every so many text positions the suffix array keeps one.
@@ -291,6 +291,7 @@ def _pass(phrases, text: str, schema: pa.Schema):
                 "items": pa.array(items, schema.field("items").type),
             }
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else column(batch, f.name).cast(f.type) for f in schema], schema=schema)
+        release()
 
     return run
 
