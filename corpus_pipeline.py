@@ -5,7 +5,8 @@ return the columns of ``docs``. ``run`` writes each stage's rows as Parquet into
 the shared checkpoint folder and reads them again for the next.
 
 No stage but the first and third needs more than its own rows: the host rates
-are those of the rows it gets, and the third reads ``benchmark``.
+are those of the rows it gets, and the third reads ``benchmark``. Each stage starts
+by letting the executors give back what the one before took.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm import decontaminate, ngram_join, pieces, pii, quality
+from seriesmill.llm.memory import settle
 from seriesmill.session import stored, table
 
 
@@ -24,22 +26,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    settle(spark)
     return ngram_join.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too little of the benchmark to be contaminated."""
+    settle(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their personal data replaced; n_chars follows the text."""
+    settle(spark)
     clean = pii.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the sampled token ids and their number."""
+    settle(spark)
     coded = pieces.encoded(docs.select("doc_id", "text"))
     return coded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
 
