@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm import decontaminate, ngram_join, pieces, pii, quality
 from seriesmill.llm.memory import settle
-from seriesmill.session import stored, table
+from seriesmill.session import removed, scratch_path, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    """The last stage's rows; a stage's table goes as soon as the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = scratch_path(spark)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ def build_session(master: str = "local[*]", app: str = "seriesmill", **conf: str
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in settings.items():
@@ -29,12 +31,15 @@ def build_session(master: str = "local[*]", app: str = "seriesmill", **conf: str
 def _shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors see.
 
-    It is the one of ``spark.checkpoint.dir``; only a session without one (tests,
-    notebooks) gets a temporary folder of its own.
+    It is the one of ``spark.checkpoint.dir``. Only a session in one process (tests, notebooks) may be without one
+    and gets a temporary folder of its own; on a cluster, where executors don't share such a folder, this fails.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,13 +49,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder as Parquet and read again."""
-    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet (to the checkpoint folder, where no path is given) and read again."""
+    path = path or scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder that ``stored`` wrote, wherever Spark's file systems keep it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
