@@ -7,17 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesmill.operators.events import f_beta, ratio
+from seriesmill.session import checkpointed
 
 
 def levels(points: DataFrame, keys: tuple[str, ...] = (), score: str = "v", label: str = "y") -> DataFrame:
     """Per distinct score: positives and points at it (pos, n) and at or above it (tp, pp), and the totals (p, total).
 
-    Scores are pre-aggregated, so the running sums go over distinct scores only.
+    Scores are pre-aggregated, so the running sums go over distinct scores only. Without keys these are dealt to ranges
+    of scores; a range sums its own, and adds the sums of the ranges above, a row each.
     """
     by = points.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"))
-    down = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(*keys)
-    return by.withColumns({"tp": F.sum("pos").over(down), "pp": F.sum("n").over(down), "p": F.sum("pos").over(every), "total": F.sum("n").over(every)})
+    if keys:
+        down = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+        every = W.partitionBy(*keys)
+        return by.withColumns({"tp": F.sum("pos").over(down), "pp": F.sum("n").over(down), "p": F.sum("pos").over(every), "total": F.sum("n").over(every)})
+    dealt = checkpointed(by.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()))
+    few = W.partitionBy(F.lit(0)).orderBy("part")  # a row a range
+    above = dealt.groupBy("part").agg(F.sum("pos").alias("a"), F.sum("n").alias("b"))
+    above = above.select("part", *[F.coalesce(F.sum(c).over(few.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"{c}_above") for c in "ab"], F.sum("a").over(W.partitionBy(F.lit(0))).alias("p"), F.sum("b").over(W.partitionBy(F.lit(0))).alias("total"))
+    down = W.partitionBy("part").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    own = dealt.withColumns({"tp": F.sum("pos").over(down), "pp": F.sum("n").over(down)}).join(F.broadcast(above), "part")
+    return own.select("score", "pos", "n", (F.col("tp") + F.col("a_above")).alias("tp"), (F.col("pp") + F.col("b_above")).alias("pp"), "p", "total")
 
 
 def auroc(points: DataFrame, keys: tuple[str, ...] = (), score: str = "v", label: str = "y") -> DataFrame:

@@ -65,16 +65,23 @@ def matches(truth: DataFrame, preds: DataFrame, iou_threshold: float = 0.1) -> D
     """Greedy matches (series_id, pred, truth, iou), predictions in order, each truth once.
 
     The overlap is over the hull of both windows. Each prediction takes the best
-    unmatched truth, the first of equal ones. Matching depends on order, so it is
-    a fold over one series' predictions; only truths that overlap are offered.
+    unmatched truth, the first of equal ones. Matching depends on order, so it is a
+    fold over predictions; only truths that overlap are offered. Predictions whose
+    offers no earlier one shares begin an island, and each island is folded alone, so a
+    long series costs what its islands do.
     """
     p = preds.select("series_id", F.col("event_id").alias("j"), F.col("s").alias("ps"), F.col("e").alias("pe"))
     t = truth.select(F.col("series_id").alias("k"), F.col("event_id").alias("i"), "s", "e")
     common = F.greatest(F.least("pe", "e") - F.greatest("ps", "s"), F.lit(0))
     iou = common / (F.greatest("pe", "e") - F.least("ps", "s"))
     near = p.join(t, (F.col("series_id") == F.col("k")) & (F.col("s") < F.col("pe")) & (F.col("ps") < F.col("e"))).withColumn("iou", iou)
-    offers = near.where(F.col("iou") >= iou_threshold).groupBy("series_id", "j").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("u"), "i"))).alias("offer"))
-    lists = offers.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("j", "offer"))).alias("q"))
+    offers = near.where(F.col("iou") >= iou_threshold).groupBy("series_id", "j").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("u"), "i"))).alias("offer"), F.min("i").alias("low"), F.max("i").alias("high")
+    )
+    by = W.partitionBy("series_id").orderBy("j")
+    apart = F.coalesce((F.col("low") > F.max("high").over(by.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    islands = offers.withColumn("new", apart).withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    lists = islands.groupBy("series_id", "island").agg(F.sort_array(F.collect_list(F.struct("j", "offer"))).alias("q"))
     none = F.array().cast("array<struct<j:bigint,i:bigint,iou:double>>")
 
     def step(done: Column, x: Column) -> Column:

@@ -88,12 +88,26 @@ def oversampled(events: DataFrame, multiplier: float) -> DataFrame:
 def negatives_capped(rows: DataFrame, ratio: float, seed: int, label: str = "y", keys: tuple[str, ...] = ("series_id", "t")) -> DataFrame:
     """All positives and, by hash order, ratio times as many negatives; max(int(ratio), 1) of them without positives.
 
-    The cap is a rank threshold found by a top-k, so no single task ranks all rows.
+    The hash that ends the sample is found from counts by its first four digits, a table of at most 65,536 rows; only the
+    rows that share the last such digits are sorted, so no task sees all that are kept.
     """
-    n_pos = rows.where(F.col(label) == 1).count()
+    order = hash_order(seed, *keys)
+    negative = rows.where(F.col(label) == 0)
+    counts = rows.groupBy(F.when(F.col(label) == 0, F.substring(order, 1, 4)).alias("h"), (F.col(label) == 1).alias("positive")).count().collect()
+    n_pos = sum(r["count"] for r in counts if r["positive"])
     cap = int(n_pos * ratio) if n_pos else max(int(ratio), 1)
-    negative = rows.where(F.col(label) == 0).orderBy(hash_order(seed, *keys), *keys).limit(cap)
-    return rows.where(F.col(label) == 1).unionByName(negative)
+    held, border = 0, None
+    for r in sorted((r for r in counts if r["h"] is not None), key=lambda r: r["h"]):
+        if held + r["count"] > cap:
+            border = r["h"]
+            break
+        held += r["count"]
+    kept = rows.where(F.col(label) == 1)
+    if border is None:
+        return kept.unionByName(negative)
+    digits = F.substring(order, 1, 4)
+    last = negative.where(digits == border).orderBy(order, *keys).limit(cap - held)
+    return kept.unionByName(negative.where(digits < border)).unionByName(last)
 
 
 def balanced(series_rows: DataFrame, most_series: int, seed: int) -> DataFrame:

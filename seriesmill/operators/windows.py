@@ -13,16 +13,29 @@ def arrays(points: DataFrame) -> DataFrame:
     return rows.select("series_id", F.transform("p", lambda x: x["v"]).alias("values"), F.size("p").cast("long").alias("n"))
 
 
+def _cut(points: DataFrame, size: int, stride: int) -> DataFrame:
+    """Windows (series_id, n, w, s, values) of a series of n points: every stride, one more at the tail, all points of a short series.
+
+    Each point goes to the windows that hold it, and these are gathered by series and number under the exchange by
+    series, so no whole series is copied into its windows.
+    """
+    n, t, last = F.count("*").over(W.partitionBy("series_id")), F.col("t"), F.col("n") - size
+    full = F.floor(last / stride)  # number of the last regular window
+    first = F.greatest(F.ceil((t - size + 1) / stride), F.lit(0))
+    regular = F.when(first <= F.least(F.floor(t / stride), full), F.sequence(first, F.least(F.floor(t / stride), full)))
+    tail = F.when((full * stride < last) & (t >= last), F.array(full + 1))
+    none = F.array().cast("array<bigint>")
+    held = F.when(last < 0, F.array(F.lit(0).cast("long"))).otherwise(F.concat(F.coalesce(regular, none), F.coalesce(tail, none)))
+    rows = points.select("series_id", "t", "v", n.alias("n")).select("series_id", "n", "t", "v", F.explode(held).alias("w"))
+    start = F.when(last < 0, F.lit(0).cast("long")).otherwise(F.least(F.col("w") * stride, last))
+    made = rows.groupBy("series_id", "n", "w").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("p"))
+    return made.select("series_id", "n", "w", start.alias("s"), F.transform("p", lambda x: x["v"]).alias("values"))
+
+
 def windows(points: DataFrame, size: int, stride: int) -> DataFrame:
     """Windows (series_id, w, s, e, values): every stride, one more at the tail, a short series padded with its last value."""
-    a = arrays(points)
-    starts = F.sequence(F.lit(0).cast("long"), F.col("n") - size, F.lit(stride).cast("long"))
-    tail = F.col("n") - size
-    every = F.when(F.col("n") < size, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.concat(starts, F.array(tail))))
-    rows = a.select("series_id", "n", "values", F.posexplode(every).alias("w", "s"))
-    padded = F.concat(F.col("values"), F.array_repeat(F.element_at("values", -1), (F.lit(size) - F.col("n")).cast("int")))
-    cut = F.when(F.col("n") < size, padded).otherwise(F.slice("values", F.col("s").cast("int") + 1, size))
-    return rows.select("series_id", "w", "s", F.least(F.col("s") + size, F.col("n")).alias("e"), cut.alias("values"))
+    padded = F.concat(F.col("values"), F.array_repeat(F.element_at("values", -1), F.greatest(F.lit(size) - F.size("values"), F.lit(0))))
+    return _cut(points, size, stride).select("series_id", F.col("w").cast("int").alias("w"), "s", F.least(F.col("s") + size, F.col("n")).alias("e"), padded.alias("values"))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -43,16 +56,16 @@ def to_points(points: DataFrame, scores: DataFrame, how: str = "max", floor: flo
 
 
 def forecast_pairs(points: DataFrame, size: int, stride: int = 1, horizon: int = 1) -> DataFrame:
-    """Context windows and the ``horizon`` values after each: series_id, at (index of the first target), context, target."""
-    a = arrays(points).where(F.col("n") > horizon)
-    last = F.col("n") - size - horizon
-    starts = F.when(last < 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(stride).cast("long")), F.array(last))))
-    rows = a.select("series_id", "n", "values", F.explode(starts).alias("s"))
-    prefix = F.slice("values", 1, (F.col("n") - horizon).cast("int"))
-    padded = F.concat(F.array_repeat(F.get("values", F.lit(0)), F.greatest(F.lit(size) - F.size(prefix), F.lit(0))), prefix)
-    context = F.when(F.col("s") < 0, F.slice(padded, F.size(padded) - size + 1, size)).otherwise(F.slice("values", F.col("s").cast("int") + 1, size))
-    at = F.when(F.col("s") < 0, F.col("n") - horizon).otherwise(F.col("s") + size)
-    return rows.select("series_id", at.alias("at"), context.alias("context"), F.slice("values", at.cast("int") + 1, horizon).alias("target"))
+    """Context windows and the ``horizon`` values after each: series_id, at (index of the first target), context, target.
+
+    A series too short for both has one pair, its context padded in front with the first value; one of no more than
+    ``horizon`` points has none.
+    """
+    rows = _cut(points, size + horizon, stride).where(F.col("n") > horizon)
+    known = F.size("values") - horizon
+    front = F.array_repeat(F.get("values", F.lit(0)), F.greatest(F.lit(size) - known, F.lit(0)))
+    context = F.concat(front, F.slice("values", 1, known))
+    return rows.select("series_id", (F.col("s") + known).cast("long").alias("at"), context.alias("context"), F.slice("values", known + 1, horizon).alias("target"))
 
 
 def point_features(points: DataFrame, size: int = 5, lags: int = 2) -> DataFrame:
