@@ -142,4 +142,81 @@ def trade_off(curve: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def plus_minus(mean: Column, std: Column, digits: int = 4) -> Column:
     """'mean ± std' with fixed digits, '-' for null."""
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", mean), F.lit(" ± "), F.format_string(f"%.{digits}f", std)), F.lit("-"))
+    text = F.concat(F.format_string(f"%.{digits}f", mean), F.lit(" ± "), F.format_string(f"%.{digits}f", std))
+    return F.when(mean.isNotNull() & std.isNotNull(), text).otherwise("-")
+
+
+def mode_of(column: str) -> Column:
+    """The most frequent string of a group, the smallest of equal ones; nulls don't count."""
+    return F.mode(column, deterministic=True)
+
+
+def aggregated_runs(rows: DataFrame, keys: list[str], metrics: list[str], modes: list[str] = (), sums: list[str] = ()) -> DataFrame:
+    """A row a group (null keys kept): distinct seeds in all, valid and invalid, modes, mean, std (population), median, min and max of each metric over valid rows, means of counts, validity flags."""
+    ok = F.coalesce("metrics_valid", F.lit(False))
+    of = lambda m: F.when(ok, F.col(m))
+    stats = [a for m in metrics for a in (F.avg(of(m)).alias(f"{m}_mean"), F.stddev_pop(of(m)).alias(f"{m}_std"), F.percentile(of(m), 0.5).alias(f"{m}_median"), F.min(of(m)).alias(f"{m}_min"), F.max(of(m)).alias(f"{m}_max"))]
+    return rows.groupBy(*keys).agg(
+        F.count_distinct("seed").alias("num_seeds_total"), F.count_distinct(F.when(ok, F.col("seed"))).alias("num_seeds_valid"), F.count_distinct(F.when(~ok, F.col("seed"))).alias("num_seeds_invalid"),
+        *[mode_of(m).alias(f"{m}_mode") for m in modes], *stats, *[F.avg(c).alias(f"{c}_mean") for c in sums], F.max(ok).alias("any_seed_valid"), F.min(ok).alias("all_seeds_valid"),
+    )
+
+
+def pair_report(audit: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Donor pairs of an audit by keys (nulls kept): kept and rejected ones, the share kept, and each column's mean on either side."""
+    ok = F.coalesce("accepted", F.lit(False))
+    sides = [F.avg(F.when(side, F.col(c))).alias(f"{c}_{name}") for c in columns for name, side in (("kept", ok), ("rejected", ~ok))]
+    rows = audit.where("record_type = 'donor_pair'").groupBy(*keys)
+    return rows.agg(F.count("*").alias("num_pairs"), F.count_if(ok).alias("num_kept"), F.count_if(~ok).alias("num_rejected"), F.avg(ok.cast("double")).alias("keep_rate"), *sides)
+
+
+def top_reasons(audit: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent rejection reasons, equal ones by name."""
+    rows = audit.where("not accepted and coalesce(rejection_reason, '') <> ''").groupBy("rejection_reason").agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "rejection_reason").limit(k)
+
+
+def main_table(rows: DataFrame, baseline: str, detectors: list[str], policies: list[str]) -> DataFrame:
+    """The main table: detectors by policies in a fixed order, F1 and false positives as mean ± std, and the share of seeds that beat the baseline's F1, as text."""
+    by = valid(rows).groupBy("detector", "policy", "seed").agg(F.avg("event_f1").alias("f"), F.avg("false_positives").alias("fp"))
+    base = by.where(F.col("policy") == baseline).select("detector", "seed", F.col("f").alias("b"))
+    both = by.join(base, ["detector", "seed"], "left")
+    table = both.groupBy("detector", "policy").agg(
+        F.avg("f").alias("fm"), F.stddev_pop("f").alias("fs"), F.avg("fp").alias("pm"), F.stddev_pop("fp").alias("ps"), F.count_if(F.col("f") > F.col("b")).alias("wins"), F.count("b").alias("n"),
+    )
+    spark = rows.sparkSession
+    order = spark.createDataFrame([(d, p, i, j) for i, d in enumerate(detectors) for j, p in enumerate(policies)], "detector string, policy string, i long, j long")
+    rate = F.when((F.col("policy") == baseline) | (F.coalesce("n", F.lit(0)) == 0), "-").otherwise(F.concat_ws("/", F.col("wins").cast("string"), F.col("n").cast("string")))
+    out = order.join(table, ["detector", "policy"], "left").orderBy("i", "j")
+    return out.select("i", "j", "detector", "policy", plus_minus(F.col("fm"), F.col("fs"), 3).alias("event_f1"), plus_minus(F.col("pm"), F.col("ps"), 1).alias("false_positives"), F.coalesce(rate, F.lit("-")).alias("wins"))
+
+
+def markdown(rows: DataFrame, digits: int = 4) -> str:
+    """A small table as Markdown text, '-' for nulls."""
+    show = lambda v: "-" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [rows.columns, ["---"] * len(rows.columns), *[[show(v) for v in r] for r in rows.collect()]]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines) + "\n"
+
+
+def sweep_page(metrics: DataFrame, baseline: str = "real_only", metric: str = "event_f1") -> str:
+    """A page on a label sweep: the best method a fraction, each method's difference from the baseline, and what stands out in words."""
+    by = metrics.groupBy("labeled_fraction", "method").agg(F.avg(metric).alias(metric), F.avg("num_synthetic_windows").alias("windows"))
+    base = by.where(F.col("method") == baseline).select("labeled_fraction", F.col(metric).alias("base"))
+    rows = by.join(base, "labeled_fraction", "left").withColumn("delta", F.col(metric) - F.col("base"))
+    best = first_best(rows, metric, ("labeled_fraction",), ("method",)).orderBy("labeled_fraction").select("labeled_fraction", "method", metric, "delta")
+    words = []
+    for r in best.collect():
+        words.append(f"- At {r.labeled_fraction:g} of the labels {r.method} is best" + (f", {r.delta:+.4f} against {baseline}." if r.delta is not None and r.method != baseline else "."))
+    idle = [r.method for r in rows.where("windows = 0").where(F.col("method") != baseline).select("method").distinct().orderBy("method").collect()]
+    words += [f"- Without any synthetic window: {', '.join(idle)}."] if idle else []
+    every = rows.orderBy("labeled_fraction", "method").select("labeled_fraction", "method", metric, "delta", "windows")
+    return "\n".join(["# Label sweep", "", *words, "", "## Best method", "", markdown(best), "## All methods", "", markdown(every)])
+
+
+def snippet(points: DataFrame, windows_: DataFrame, padding: int = 20) -> DataFrame:
+    """Figure data: each window (series_id, event_id, s, e) with ``padding`` points on either side, as standard scores of the snippet, and whether a point lies inside."""
+    w = windows_.select(F.col("series_id").alias("k"), "event_id", "s", "e")
+    rows = points.join(w, (F.col("series_id") == F.col("k")) & F.col("t").between(F.col("s") - padding, F.col("e") + padding - 1))
+    by = W.partitionBy("series_id", "event_id")
+    std = F.stddev_pop("v").over(by)
+    return rows.select("series_id", "event_id", "t", ((F.col("v") - F.avg("v").over(by)) / F.when(std > 1e-8, std).otherwise(1.0)).alias("z"), ((F.col("t") >= F.col("s")) & (F.col("t") < F.col("e"))).alias("inside"))

@@ -125,3 +125,29 @@ def donor_pool(points: DataFrame, split: DataFrame, fraction: float, seed: int,
     masked = masked_labels(own, labelled(own), fraction, seed)
     test = split.where("split = 'test'").select("series_id")
     return labelled(masked).join(test, "series_id", "left_anti")
+
+
+def split_by_folder(series_rows: DataFrame, seed: int, train: float = 0.7, val: float = 0.1) -> DataFrame:
+    """The split with whole folders (datasets) as units, so that no folder lies on two sides."""
+    folders = series_rows.select(F.col("dataset").alias("series_id")).distinct()
+    whole = split(folders, seed, train, val, strata=()).select(F.col("series_id").alias("dataset"), "split")
+    return series_rows.join(F.broadcast(whole), "dataset")  # a row a folder
+
+
+def within_point_budget(series_rows: DataFrame, most_points: int, seed: int) -> DataFrame:
+    """Series of each dataset within a number of points: those with events first, else by hash order; one that is too long is passed over, not the end. At least the first stays.
+
+    What fits depends on what was taken before, so it is a fold over a dataset's (id, length) pairs.
+    """
+    order = F.struct((1 - F.col("has_event")).alias("late"), hash_order(seed, "series_id").alias("h"), "series_id", F.col("n").cast("long").alias("n"))
+    lists = series_rows.groupBy("dataset").agg(F.sort_array(F.collect_list(order)).alias("q"))
+    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
+
+    def step(state: Column, x: Column) -> Column:
+        fits = state["used"] + x["n"] <= most_points
+        return F.struct((state["used"] + F.when(fits, x["n"]).otherwise(0)).alias("used"), F.when(fits, F.concat(state["ids"], F.array(x["series_id"]))).otherwise(state["ids"]).alias("ids"))
+
+    picked = F.aggregate("q", none, step, lambda s: s["ids"])
+    first = F.array(F.get("q", F.lit(0))["series_id"])
+    kept = lists.withColumn("ids", picked).select(F.explode(F.when(F.size("ids") > 0, F.col("ids")).otherwise(first)).alias("series_id"))
+    return series_rows.join(kept, "series_id", "left_semi")

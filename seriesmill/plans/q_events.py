@@ -236,3 +236,15 @@ def event_prf(spark, sf_dir):
 def event_fbeta(spark, sf_dir):
     p = points(spark, sf_dir)
     return rounded(ev.prf(ev.matched_counts(ev.labelled(p), ev.predicted(p, 30.0)), 0.5))
+
+
+@registry()
+def balance_points(spark, sf_dir):
+    """Series within 2000 points a dataset. Tests hold the fold against a plain loop."""
+    return sp.within_point_budget(sp.series(points(spark, sf_dir)), 2000, 5).select("series_id", "dataset", "n")
+
+
+@registry(sql("fo as (select distinct dataset from pts), fr as (select dataset, row_number() over (order by md5(concat('42|', dataset)), dataset) as r, count(*) over () as n from fo)",
+    select="select p.series_id, case when n = 1 or r = 1 then 'train' when n = 2 then 'test' when r <= case when a + b >= n then greatest(1, n - b - 1) else a end then 'train' when r <= case when a + b >= n then greatest(1, n - b - 1) else a end + b then 'val' else 'test' end as split from (select distinct series_id, dataset from pts) p join (select *, greatest(1, cast(round_even(n * 0.7, 0) as int)) as a, greatest(1, cast(round_even(n * 0.1, 0) as int)) as b from fr) using (dataset)"))
+def split_folders(spark, sf_dir):
+    return sp.split_by_folder(sp.series(points(spark, sf_dir)), 42).select("series_id", "split")

@@ -224,3 +224,25 @@ def rejection_counts(spark, sf_dir):
 @registry(f"{_M} select policy, {big('count(*)')} as n_windows, {big('sum(false_positives)')} as n_points, {big('count(*) filter (where metrics_valid is false)')} as n_rejected from m group by 1")
 def synth_counts(spark, sf_dir):
     return _metrics(spark, sf_dir).groupBy("policy").agg(F.count("*").alias("n_windows"), F.sum("false_positives").alias("n_points"), F.count_if(~F.col("metrics_valid")).alias("n_rejected"))
+
+
+def _stats_sql(c: str) -> str:
+    v = f"filter (where metrics_valid is true)"
+    return f"{r6(f'avg({c}) {v}')} as {c}_mean, {r6(f'stddev_pop({c}) {v}')} as {c}_std, {r6(f'quantile_cont({c}::double, 0.5) {v}')} as {c}_median, {r6(f'min({c}) {v}')} as {c}_min, {r6(f'max({c}) {v}')} as {c}_max"
+
+
+@registry(f"""{_M}, mo as (select detector, policy, first(k order by n desc, k) as k from (select detector, policy, concat('k', cast(event_id % 7 as varchar)) as k, count(*) as n from m group by 1, 2, 3) group by 1, 2)
+select m.detector, m.policy, {big('count(distinct seed)')} as num_seeds_total, {big('count(distinct case when metrics_valid is true then seed end)')} as num_seeds_valid, {big('count(distinct case when metrics_valid is not true then seed end)')} as num_seeds_invalid,
+ any_value(mo.k) as kind_mode, {_stats_sql('event_f1')}, {_stats_sql('false_positives')}, bool_or(metrics_valid is true) as any_seed_valid, bool_and(metrics_valid is true) as all_seeds_valid from m join mo using (detector, policy) group by 1, 2""")
+def aggregate_runs(spark, sf_dir):
+    rows = _metrics(spark, sf_dir).withColumn("kind", F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string")))
+    out = re.aggregated_runs(rows, ["detector", "policy"], ["event_f1", "false_positives"], ["kind"])
+    return rounded(out.withColumns({c: F.col(c).cast("double") for c in ("false_positives_min", "false_positives_max")}))
+
+
+@registry(f"""{_M}, bs as (select detector, policy, seed, avg(event_f1) as f, avg(false_positives) as fp from v group by 1, 2, 3), bb as (select bs.*, z.f as b from bs left join (select detector, seed, f from bs where policy = 'p0') z using (detector, seed)),
+od as (select d as detector, i, p as policy, j from (select unnest(['click', 'view', 'odd']) as d, unnest(range(3)) as i), (select unnest(['p0', 'p2']) as p, unnest(range(2)) as j)),
+tb as (select detector, policy, concat(printf('%.3f', avg(f)), ' ± ', printf('%.3f', stddev_pop(f))) as a, concat(printf('%.1f', avg(fp)), ' ± ', printf('%.1f', stddev_pop(fp))) as c, count(*) filter (where f > b) as w, count(b) as n from bb group by 1, 2)
+select {big('i')} as i, {big('j')} as j, detector, policy, coalesce(a, '-') as event_f1, coalesce(c, '-') as false_positives, case when policy = 'p0' or coalesce(n, 0) = 0 then '-' else concat(w, '/', n) end as wins from od left join tb using (detector, policy)""")
+def main_table(spark, sf_dir):
+    return re.main_table(_metrics(spark, sf_dir), "p0", ["click", "view", "odd"], ["p0", "p2"])

@@ -9,6 +9,7 @@ from seriesmill.operators import compat as co
 from seriesmill.operators import donors as do
 from seriesmill.operators import events as ev
 from seriesmill.operators import partial as pa
+from seriesmill.operators import report as re
 from seriesmill.operators import synth as sy
 from seriesmill.plans.q_compat import _PAIRS, _PROFILE, _SIDES, _SPECTRAL, _profiles
 from seriesmill.plans.q_synth import _ALL, _candidates, _synthesized
@@ -256,3 +257,14 @@ def dtw_warp(spark, sf_dir):
     """Each event's best donor on the event's time."""
     best = _candidates(spark, sf_dir).where("rank = 1")
     return rounded(sy.warped(best).select("series_id", "event_id", F.posexplode("synthetic").alias("k", "x")))
+
+
+@registry(sql(*_ALL, _FROM_STRICT, "pc as (select s.*, s.score >= 0.9 as ok from truth t join sc s on s.target = t.series_id)",
+    select=f"select t_dataset as target_dataset, s_dataset as source_dataset, {big('count(*)')} as num_pairs, {big('count(*) filter (where ok)')} as num_kept, {big('count(*) filter (where not ok)')} as num_rejected, {r6('avg(case when ok then 1e0 else 0 end)')} as keep_rate, " + ", ".join(f"{r6(f'avg({c}) filter (where ok)')} as {n}_kept, {r6(f'avg({c}) filter (where not ok)')} as {n}_rejected" for c, n in (("shape", "shape_similarity"), ("trend", "trend_similarity"), ("duration", "duration_compatibility"))) + " from pc group by 1, 2"))
+def pair_report(spark, sf_dir):
+    return rounded(re.pair_report(_audit(spark, sf_dir), ["target_dataset", "source_dataset"], ["shape_similarity", "trend_similarity", "duration_compatibility"]))
+
+
+@registry(sql(*_ALL, _FROM_STRICT, "rr as (select 'below_compatibility_threshold' as r from ap where not accepted union all select 'no_compatible_donor' from truth t where not exists (select 1 from ca where ca.target_series_id = t.series_id and ca.event_id = t.event_id))", select=f"select r as rejection_reason, {big('count(*)')} as n from rr group by 1"))
+def top_reasons(spark, sf_dir):
+    return re.top_reasons(_audit(spark, sf_dir))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmill.operators import audit, compat, donors, partial, splits, synth
+from seriesmill.operators import audit, compat, donors, partial, report, splits, synth
 
 PARTS = ("shape", "amplitude", "duration", "context", "frequency", "trend", "group")
 
@@ -178,3 +178,31 @@ def test_flat_audit_has_every_column(spark):
     assert rows.columns == [*audit.COLUMNS, "extra"] and len(audit.COLUMNS) == 48
     row = rows.first()
     assert (row.candidate_id, row.donor_starts, row.accepted, row.method) == ("c", "1|2", True, None)
+
+
+def test_point_budget_against_a_plain_loop(spark):
+    r = random.Random(7)
+    rows = [(f"d{i % 3}/s{i}", f"d{i % 3}", r.randrange(5, 60), 0, r.randrange(2)) for i in range(40)] + [("d9/long", "d9", 1000, 0, 0)]
+    df = spark.createDataFrame(rows, "series_id string, dataset string, n int, n_pos int, has_event int")
+    order = {x.series_id: x.h for x in df.select("series_id", splits.hash_order(3, "series_id").alias("h")).collect()}
+    want = set()
+    for d in {x[1] for x in rows}:
+        used, own = 0, sorted((1 - x[4], order[x[0]], x[0], x[2]) for x in rows if x[1] == d)
+        kept = []
+        for _, _, name, n in own:
+            if used + n <= 100:
+                used += n
+                kept.append(name)
+        want |= set(kept or [own[0][2]])
+    assert {x.series_id for x in splits.within_point_budget(df, 100, 3).collect()} == want
+
+
+def test_report_pages(spark):
+    rows = [(0.1, "real_only", 0.2, 0), (0.1, "mean", 0.3, 4), (0.5, "real_only", 0.5, 0), (0.5, "mean", 0.4, 0)]
+    page = report.sweep_page(spark.createDataFrame(rows, "labeled_fraction double, method string, event_f1 double, num_synthetic_windows int"))
+    assert "At 0.1 of the labels mean is best, +0.1000 against real_only." in page and "At 0.5 of the labels real_only is best." in page and "Without any synthetic window: mean." in page
+    assert report.markdown(spark.createDataFrame([("a|b", None, 0.5)], "x string, y int, z double")) == "| x | y | z |\n| --- | --- | --- |\n| a\\|b | - | 0.5000 |\n"
+    p = spark.createDataFrame([("s", t, float(t)) for t in range(10)], "series_id string, t long, v double")
+    w = spark.createDataFrame([("s", 0, 4, 6)], "series_id string, event_id long, s long, e long")
+    got = report.snippet(p, w, 2).orderBy("t").collect()
+    assert [x.t for x in got] == [2, 3, 4, 5, 6, 7] and [x.inside for x in got] == [False, False, True, True, False, False] and sum(x.z for x in got) == pytest.approx(0)
