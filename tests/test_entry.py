@@ -1,6 +1,9 @@
 import importlib
+import numbers
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -34,7 +37,13 @@ def test_query_matches_oracle(spark, base, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), base.execute(entry.oracle_sql()[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    plain = lambda v: None if v is None or v != v else round(float(v), 9) + 0.0 if isinstance(v, float) else v
+    def plain(v):
+        if isinstance(v, (list, tuple, np.ndarray)):
+            return tuple(map(plain, v))
+        if v is None or pd.isna(v):
+            return None
+        return round(float(v), 9) + 0.0 if isinstance(v, numbers.Real) and not isinstance(v, (bool, np.bool_)) else v
+
     rows = lambda df: sorted((tuple(map(plain, r)) for r in df[columns].astype(object).itertuples(index=False, name=None)), key=str)
     assert rows(got) == rows(want)
 
