@@ -38,3 +38,40 @@ def test_pairs_of_blocks_miss_none(spark, monkeypatch):
     assert sorted((x.target, x.source) for x in got.collect()) == sorted((f"s{i}", f"s{j}") for i, j in itertools.permutations(range(10), 2))
     assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((x.target, x.source) for x in compat.pairs(df.limit(4), df.where("dataset = 'd1'")).select("target", "source").distinct().collect()) == sorted({(x[0], y[0]) for x in rows[:4] for y in rows if y[1] == "d1" and x[0] != y[0]})
+
+
+def odd_profiles(spark, n=70):
+    """Series of two datasets and of none: random ones, copies, numbers missing, without events."""
+    r = random.Random(5)
+    rows = []
+    for i in range(n):
+        x = [r.choice([0.0, r.random(), -r.random(), 9 * r.random()]) for _ in compat.FEATURES]
+        x[-1] = float(i % 3)
+        if i % 5 == 0 and i:
+            x = list(rows[i - 1 if i % 2 else 0][2:])
+        if i % 23 == 7:
+            x[r.randrange(len(x) - 1)] = None
+        rows.append((f"s{r.random()}", [None, "d0", "d1", "d1"][i % 4] if i % 10 else rows[0][1] if rows else "d0", *x))
+    return spark.createDataFrame(rows, "series_id string, dataset string, " + ", ".join(f"{c} double" for c in compat.FEATURES))
+
+
+def test_best_pairs_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(compat, "_blocks", lambda n: -(-n // 20))
+    df = odd_profiles(spark)
+    scored = compat.scored(compat.pairs(df)).localCheckpoint()
+    named = lambda rows: sorted((x.target, x.source, x.rank, round(x.score, 9)) for x in rows.collect())
+    for k, least, among in ((3, 0.5, "all"), (5, None, "all"), (2, None, "same"), (4, None, "other"), (3, 0.99, "all")):
+        rows = scored if among == "all" else scored.where(("" if among == "same" else "not ") + "same_dataset")
+        want = compat.ranked(rows if least is None else rows.where(f"score >= {least}")).where(f"rank <= {k}")
+        assert named(compat.best_pairs(df, k, least, among)) == named(want)
+
+
+def test_pair_totals_are_those_of_all_pairs(spark, monkeypatch):
+    df = odd_profiles(spark)
+    kept = compat.F.col("score") >= 0.6
+    rows = compat.scored(compat.pairs(df)).groupBy("target", "s_dataset").agg(compat.F.count("*").alias("n"), compat.F.count_if(kept).alias("n_kept"), compat.F.sum("score").alias("score"), compat.F.sum(compat.F.when(kept, compat.F.col("score")).otherwise(0)).alias("score_kept"))
+    named = lambda rows: sorted((x.target, str(x.s_dataset), x.n, x.n_kept, round(x.score, 6), round(x.score_kept, 6)) for x in rows.collect())
+    want = named(rows)
+    for size in (20, 1000):
+        monkeypatch.setattr(compat, "_blocks", lambda n, size=size: -(-n // size))
+        assert named(compat.pair_totals(df, 0.6)) == want
