@@ -206,3 +206,31 @@ def test_report_pages(spark):
     w = spark.createDataFrame([("s", 0, 4, 6)], "series_id string, event_id long, s long, e long")
     got = report.snippet(p, w, 2).orderBy("t").collect()
     assert [x.t for x in got] == [2, 3, 4, 5, 6, 7] and [x.inside for x in got] == [False, False, True, True, False, False] and sum(x.z for x in got) == pytest.approx(0)
+
+
+def test_meetings_against_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(donors, "CHUNK", 3)
+    r = random.Random(8)
+    events = [(f"s{i}", j, [r.choice([0.0, 1.0, r.random()]) for _ in range(4)], r.randrange(3)) for i in range(5) for j in range(7 if i else 11)] + [("s1", 7, [None, 1.0, 1.0, 1.0], 0)]
+    sources = [("s0", "s1"), ("s0", "s2"), ("s1", "s0"), ("s4", "s3"), ("s9", "s0"), ("s2", "s9")]
+    t = spark.createDataFrame([e[:3] for e in events], "series_id string, event_id long, x array<double>")
+    d = spark.createDataFrame(events, "source string, donor_id long, y array<double>, event_group long")
+    s = spark.createDataFrame(sources, "target string, source string")
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    cos = lambda x, y: None if None in x or None in y else round(sum(a * b for a, b in zip(x, y)) / max(norm(x) * norm(y), 1e-8), 9)
+    for most, by_group in ((1, False), (2, True)):
+        want = []
+        for a, i, x, _ in events:
+            for b in (q for p, q in sources if p == a):
+                for g in range(3) if by_group else (None,):
+                    own = [(cos(x, y), j, k) for c, j, y, k in events if c == b and g in (None, k)]
+                    want += [(a, i, b, j, k, c) for c, j, k in sorted(own, key=lambda m: (m[0] is None, -(m[0] or 0), m[1]))[:most]]
+        assert sorted(map(str, map(tuple, donors.meetings(t, d, s, most, by_group).collect()))) == sorted(map(str, want))
+    near = {(x.series_id, x.event_id): (x.event_group, x.near) for x in donors.nearest_group(t.where("x[0] is not null"), d.where("y[0] is not null"), s).collect()}
+    for a, i, x, _ in events:
+        own = [(y, k) for b, _, y, k in events if (a, b) in sources and None not in y]
+        centres = {g: [sum(v) / len(v) for v in zip(*[y for y, k in own if k == g])] for g in {k for _, k in own}}
+        if None not in x and centres:
+            score, group = min((-cos(x, c), g) for g, c in centres.items())
+            assert near[a, i][0] == group and abs(near[a, i][1] + score) < 1e-8
+    assert {a for a, _ in near} == {"s0", "s1", "s4"}
