@@ -39,7 +39,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = secret_scan.Markov.fit(secret_scan.labelled_samples() + secret_scan.ordinary_tokens(docs))
+    model = secret_scan.fitted(docs)
     found = secret_scan.with_spans(docs, model=model)
     of_kind = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     counts = [of_kind(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS]

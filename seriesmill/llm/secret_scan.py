@@ -11,9 +11,10 @@ token whose log-likelihood ratio reaches the fitted threshold is a span of kind
 too few characters for it unless they are all unlikely.
 
 ``labelled_samples`` makes random strings over the alphabets that keys use, and
-identifiers joined from plain words in the usual ways. ``ordinary_tokens`` adds
-tokens outside base spans from about ``SAMPLE_DOCS`` documents, chosen by a hash of
-their text, so that the models know the words of the corpus.
+identifiers joined from plain words in the usual ways. ``fitted`` adds every distinct
+token outside base spans of all documents, so that the models know the words of the
+corpus: their characters are counted in the tasks, and the threshold is an exact order
+statistic of all held-out ones.
 Other labelled samples can be passed to ``fit``.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from seriesmill.llm.text import column
+from seriesmill.session import stored
 
 #: Kinds, patterns and least lengths of the contract.
 KINDS = ("assign", "access", "hex")
@@ -46,7 +48,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # runs are whole, so the least length can st
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 
 MIN_TOKEN, FALSE = 12, 0.001
-SAMPLE_DOCS = 2000
 TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
 
 #: Plain words that sample identifiers are joined from.
@@ -97,18 +98,24 @@ class Markov:
     def fit(cls, samples: Iterable[tuple[str, bool]], false: float = FALSE) -> Markov:
         """Every third sample is held out for the threshold."""
         samples = list(samples)
+        model = cls.counted(samples)
+        held = sorted(model.score(text) for text, random_string in samples[::3] if not random_string)
+        if held:
+            model.least = max(held[min(len(held) - 1, int(len(held) * (1 - false)))] + 1e-9, 0.0)
+        return model
+
+    @classmethod
+    def counted(cls, samples: list[tuple[str, bool]], more: np.ndarray | float = 0.0) -> Markov:
+        """Without a threshold; ``more`` are counts of further ordinary tokens, a row a character before."""
         size = len(ALPHABET) + 2
         counts = np.full((2, size, size), 0.5)
+        counts[0] += more
         for i, (text, random_string) in enumerate(samples):
             if i % 3:
                 own = _codes(text)
                 np.add.at(counts[int(random_string)], (own[:-1], own[1:]), 1)
         logs = np.log(counts) - np.log(counts.sum(-1, keepdims=True))
-        model = cls(logs[1] - logs[0])
-        held = sorted(model.score(text) for text, random_string in samples[::3] if not random_string)
-        if held:
-            model.least = max(held[min(len(held) - 1, int(len(held) * (1 - false)))] + 1e-9, 0.0)
-        return model
+        return cls(logs[1] - logs[0])
 
     def score(self, token: str) -> float:
         """Log-likelihood ratio."""
@@ -152,16 +159,59 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sorted({m.group() for t in texts for m in free_tokens(t, base_spans(t))}), pa.string())], names=["token"])
 
 
-def ordinary_tokens(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS) -> list[tuple[str, bool]]:
-    """The distinct tokens outside base spans of about ``most`` documents, as ordinary samples.
+def ordinary_tokens(docs: DataFrame, text: str = "text") -> list[tuple[str, bool]]:
+    """The distinct tokens outside base spans of few documents, as ordinary samples for ``Markov.fit``."""
+    return [(r.token, False) for r in _distinct(docs, text).orderBy("token").collect()]
+
+
+def _distinct(docs: DataFrame, text: str) -> DataFrame:
+    return docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(_tokens, "token string").distinct()
 
-    A text is in by its hash, below the share that ``most`` is of all rows, so no task gathers the sample; copies are in
-    together, and give their tokens once.
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = len(ALPHABET) + 2
+    total = np.zeros(size * size, np.int64)
+    for batch in batches:
+        for token in batch.column(0).to_pylist():
+            own = _codes(token)
+            np.add.at(total, own[:-1] * size + own[1:], 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+
+def fitted(docs: DataFrame, text: str = "text", false: float = FALSE) -> Markov:
+    """The model of the labelled samples and of every distinct free token of ``docs``.
+
+    A token is held out by its hash, one in three. Only the counts of character pairs come to the driver, and of the scores
+    of the held-out tokens the counts by whole hundredths, then the scores of the one hundredth that holds the threshold.
     """
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    share = min(1.0, most / max(texts.count(), 1))
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    return [(r.token, False) for r in some.mapInArrow(_tokens, "token string").distinct().orderBy("token").collect()]
+    samples, size = labelled_samples(), len(ALPHABET) + 2
+    tokens = stored(_distinct(docs, text))
+    held = F.pmod(F.xxhash64("token"), F.lit(3)) == 0
+    more = np.zeros(size * size)
+    for r in tokens.where(~held).mapInArrow(_counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        more[r.pair] = r.n
+    model = Markov.counted(samples, more.reshape(size, size))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([model.score(t) for t in batch.column(0).to_pylist()], pa.float64())], names=["score"])
+
+    own = [(t,) for i, (t, random_string) in enumerate(samples) if i % 3 == 0 and not random_string]
+    spark = docs.sparkSession
+    scored = stored(tokens.where(held).unionByName(spark.createDataFrame(own, "token string")).mapInArrow(scores, "score double"))
+    part = F.floor(F.col("score") * 100)
+    parts = sorted((r.part, r.n) for r in scored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    count = sum(n for _, n in parts)
+    place = min(count - 1, int(count * (1 - false)))
+    for p, n in parts:
+        if place < n:
+            values = scored.where(part == p).groupBy("score").agg(F.count("*").alias("n")).orderBy("score").collect()
+            at = np.searchsorted(np.cumsum([v.n for v in values]), place, "right")
+            model.least = max(values[at].score + 1e-9, 0.0)
+            break
+        place -= n
+    return model
 
 
 def with_spans(docs: DataFrame, text: str = "text", model: Markov | None = None, out: str = "secrets") -> DataFrame:

@@ -735,3 +735,23 @@ def test_queries_run_on_the_smallest_tables(spark):
     for name in ("op1_decontaminate", "op6_quality_rules", "op9_toxicity", "op10_pii"):
         assert registry.queries()[name](spark, sf).count() == n
     assert SPACE[0x20] and not SPACE[0x61]
+
+
+def test_secret_model_learns_from_every_document(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join("".join(r.choices("abcdefghij_", k=r.randint(12, 30))) for _ in range(3)) + ' token = "abcdefabcdef1234"') for i in range(2600)] + [(2600, None), (2601, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = sorted({m.group() for _, t in rows for m in secret_scan.free_tokens(t or "", secret_scan.base_spans(t or ""))})
+    held = {x.token for x in spark.createDataFrame([(t,) for t in tokens], "token string").where("pmod(xxhash64(token), 3) = 0").collect()}
+    size = len(secret_scan.ALPHABET) + 2
+    more = np.zeros((size, size))
+    for t in tokens:
+        if t not in held:
+            own = secret_scan._codes(t)
+            np.add.at(more, (own[:-1], own[1:]), 1)
+    samples = secret_scan.labelled_samples()
+    want = secret_scan.Markov.counted(samples, more)
+    scores = sorted([want.score(t) for t in held] + [want.score(t) for t, secret in samples[::3] if not secret])
+    least = max(scores[min(len(scores) - 1, int(len(scores) * (1 - secret_scan.FALSE)))] + 1e-9, 0.0)
+    got = secret_scan.fitted(df)
+    assert np.array_equal(got.ratio, want.ratio) and abs(got.least - least) < 1e-12
