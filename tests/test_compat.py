@@ -2,6 +2,9 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pytest
+
 import __spark_entry__ as entry
 from seriesmill.operators import compat
 
@@ -75,3 +78,44 @@ def test_pair_totals_are_those_of_all_pairs(spark, monkeypatch):
     for size in (20, 1000):
         monkeypatch.setattr(compat, "_blocks", lambda n, most=0, size=size: -(-n // size))
         assert named(compat.pair_totals(df, 0.6)) == want
+
+
+@pytest.mark.parametrize("size", (1, 3, 64))
+def test_pair_rows_are_those_of_all_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(compat, "MEMBERS", size)
+    monkeypatch.setattr(compat, "BLOCK", 20)
+    monkeypatch.setattr(compat, "NAMES", 40)
+    F, parts = compat.F, ("shape", "amplitude", "duration", "context", "frequency", "trend", "group")
+    df = odd_profiles(spark)
+    df = df.unionByName(df.limit(2).withColumn("series_id", F.concat(F.lit("nan"), "series_id")).withColumn("mean", F.lit(float("nan"))).withColumn("n_events", F.lit(0.0)).withColumn("median_duration", F.lit(None).cast("double")))
+    df = df.unionByName(df.limit(1).withColumn("series_id", F.lit(None).cast("string"))).localCheckpoint()
+    columns = ("target", "source", *parts, "score", "kept", "same_dataset")
+    rounded = lambda rows: sorted(str(tuple(x)) for x in rows.select(*[F.round(c, 6).alias(c) if c in (*parts, "score") else F.col(c) for c in columns]).collect())
+    for sources in (None, df.where("dataset = 'd1'")):
+        got = compat.pair_rows(df.withColumn("name", F.col("series_id")), columns[2:], None if sources is None else sources.withColumn("name", F.col("series_id")))
+        got = sorted(str(tuple(x)) for x in got.where("target <> source").select(*columns).collect())
+        assert len(got) > 1000 and got == rounded(compat.scored(compat.pairs(df, sources)))
+
+
+def test_copies_are_worked_out_once(spark):
+    F = compat.F
+    rows = compat.members(spark.range(300).select(F.col("id").cast("string").alias("name"), (F.col("id") % 6).alias("x")), "x")
+    worked = spark.sparkContext.accumulator(0)
+
+    def tile(t, s):
+        def values(part):
+            a, b = t.field("x").to_numpy()[part, None], s.field("x").to_numpy()
+            worked.add(a.size * b.size)
+            return {"apart": (abs(a - b).astype(float), np.broadcast_to(a == 5, (len(a), len(b))))}
+
+        return values
+
+    got = {(x.target, x.source): x.apart for x in compat.expanded(rows, rows, tile, "apart double").collect()}
+    assert got == {(str(i), str(j)): None if i % 6 == 5 else float(abs(i % 6 - j % 6)) for i in range(300) for j in range(300)}
+    assert worked.value == 36
+
+
+def test_half_up_is_round(spark):
+    x = [k / 128 for k in range(-128, 129)] + [k / 2e6 for k in range(0, 2000, 7)] + [0.4999995, 1.0049999999999999e-6, 4.9999999999999998e-7, 2.5e-6, float("nan"), -0.0, 1.0]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(compat.F.round("x", 6)).collect()]
+    assert np.array_equal(compat.half_up(np.array(x), 6), want, equal_nan=True)
