@@ -1,7 +1,9 @@
 import itertools
 import math
 import random
+import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -119,3 +121,24 @@ def test_half_up_is_round(spark):
     x = [k / 128 for k in range(-128, 129)] + [k / 2e6 for k in range(0, 2000, 7)] + [0.4999995, 1.0049999999999999e-6, 4.9999999999999998e-7, 2.5e-6, float("nan"), -0.0, 1.0]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(compat.F.round("x", 6)).collect()]
     assert np.array_equal(compat.half_up(np.array(x), 6), want, equal_nan=True)
+
+
+@pytest.fixture(scope="module")
+def copied(tmp_path_factory):
+    """A folder with events of which each user has three copies, and DuckDB on it."""
+    folder, con = tmp_path_factory.mktemp("copied"), duckdb.connect()
+    con.execute(f"copy (select e.* replace (user_id + 3000 * k as user_id, event_id + 100000 * k as event_id) from '/root/testdata/sf0.001/events.parquet' e, range(3) r(k)) to '{folder}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{folder}/events.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ("pair_score", "pair_components"))
+def test_rows_of_pairs_are_made_last(spark, copied, name):
+    """All pairs of series with copies equal the SQL, and no join or exchange handles a row a pair."""
+    folder, con = copied
+    got = entry.queries()[name](spark, folder)
+    last = got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert last.count("Generate explode") == 2 and not re.findall(r"Join|Exchange|round\(", last)
+    rows, want = got.toPandas(), con.execute(entry.oracle_sql()[name]).df()
+    plain = lambda df: sorted(map(str, df[sorted(got.columns)].round(6).itertuples(index=False, name=None)))
+    assert len(rows) > 1000 and plain(rows) == plain(want)
