@@ -234,3 +234,17 @@ def test_meetings_against_a_plain_loop(spark, monkeypatch):
             score, group = min((-cos(x, c), g) for g, c in centres.items())
             assert near[a, i][0] == group and abs(near[a, i][1] + score) < 1e-8
     assert {a for a, _ in near} == {"s0", "s1", "s4"}
+
+
+def test_group_rows_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(compat, "MEMBERS", 2)
+    monkeypatch.setattr(compat, "BLOCK", 10)
+    r = random.Random(9)
+    e = spark.createDataFrame([(f"s{i}", r.randrange(1 + i % 6) - 2) for i in range(40) for _ in range(1 + i % 9)], "series_id string, event_group int")
+    series = spark.createDataFrame([(f"s{i}",) for i in range(44)] + [(None,)], "series_id string")
+    shares = donors.group_shares(e)
+    pairs = series.selectExpr("series_id as target").join(series.selectExpr("series_id as source")).where("target <> source")
+    want = donors.group_overlap(pairs, shares).select("target", "source", F.round("group", 6))
+    got = donors.group_rows(series, shares).select("target", "source", "overlap")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 44 * 43
+    assert {x.overlap for x in donors.group_rows(series, shares.limit(0)).collect()} == {0.5}
