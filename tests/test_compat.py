@@ -132,7 +132,7 @@ def copied(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ("pair_score", "pair_components", "group_component"))
+@pytest.mark.parametrize("name", ("pair_score", "pair_components", "group_component", "audit_donor_pairs"))
 def test_rows_of_pairs_are_made_last(spark, copied, name):
     """All pairs of series with copies equal the SQL, and no join or exchange handles a row a pair."""
     folder, con = copied

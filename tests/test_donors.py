@@ -248,3 +248,17 @@ def test_group_rows_are_those_of_all_pairs(spark, monkeypatch):
     got = donors.group_rows(series, shares).select("target", "source", "overlap")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 44 * 43
     assert {x.overlap for x in donors.group_rows(series, shares.limit(0)).collect()} == {0.5}
+
+
+def test_all_donor_pairs_are_those_of_judged_pairs(spark):
+    r = random.Random(6)
+    rows = [(f"s{i}", ["d0", "d1", None][i % 3], *[r.random() if i < 6 else float(i % 2) for _ in compat.FEATURES]) for i in range(14)]
+    profiles = spark.createDataFrame(rows, "series_id string, dataset string, " + ", ".join(f"{c} double" for c in compat.FEATURES))
+    windows = spark.createDataFrame([(f"s{i}", k, 5 * k, 5 * k + 2) for i in range(12) for k in range(i % 3)], "series_id string, event_id long, s long, e long")
+    cfg = donors.resolved({"donor_policy": "compatibility_strict"})
+    got = audit.all_donor_pairs(windows, profiles, "m", cfg.min_score, cfg.weights, cfg.same_dataset_bonus)
+    want = audit.donor_pairs(windows, donors.judged(compat.pairs(profiles), cfg), "m", "compatibility_strict")
+    kinds = dict(got.dtypes)
+    want = want.select(*[F.round(c, 6) if kinds[c] == "double" else F.col(c) for c in got.columns])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect()))) and got.count() == 12 * 13
+    assert {x.rejection_reason for x in got.collect()} == {"", "below_compatibility_threshold"}
